@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from tributary.functions.values import key_text, numeric_id
 from tributary.operators.flatten import flatten_customers, flatten_subscribers
-from tributary.session import table
+from tributary.operators.messages import COPIES, MessageStore
+from tributary.operators.orphans import orphan_report, reference_states
+from tributary.operators.skew import lookup_join
+from tributary.session import saved, scratch, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,3 +18,94 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = flatten_customers(table(spark, sf_dir, "shopify_customers"))
     subscribers = flatten_subscribers(table(spark, sf_dir, "mailchimp_subscribers"))
     return customers.unionByName(subscribers).select("parent_kind", "parent_id", "child_kind", "child_id").distinct()
+
+
+def order_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct (order_id, field, ref) of core_orders with the order's first staging and its period."""
+    orders = table(spark, sf_dir, "core_orders").select(
+        "order_id",
+        key_text(F.col("customer_id")).alias("customer_id"),
+        numeric_id(F.col("source_customer_id")).alias("source_customer_id"),
+        "order_date",
+        "staged_at",
+    )
+    orders = orders.groupBy("order_id", "customer_id", "source_customer_id").agg(F.min("order_date").alias("order_date"), F.min("staged_at").alias("staged"))
+    staged = F.min("staged").over(Window.partitionBy("order_id"))
+    fields = [F.struct(F.lit(f).alias("field"), F.col(f).alias("ref")) for f in ("customer_id", "source_customer_id")]
+    orders = orders.withColumn("staged", staged).select("order_id", "order_date", "staged", F.explode(F.array(*fields)).alias("x"))
+    return orders.select("order_id", "x.field", "x.ref", F.date_format("order_date", "yyyy-MM").alias("period"), "staged").where("ref is not null")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders whose customer_id or source_customer_id is an orphan, with the kind and the month.
+
+    Kinds as TESTDATA.md has them. Of messages with one latest updated_at, the one received last decides."""
+    orders = saved(order_references(spark, sf_dir), "p5-refs")
+
+    core = table(spark, sf_dir, "core_customers").select(key_text(F.col("customer_id")).alias("ref")).where("ref is not null").distinct()
+    index = table(spark, sf_dir, "entity_index").select(key_text(F.col("unified_id")).alias("ref")).where("ref is not null").distinct()
+    lost = reference_states(orders.where("field = 'customer_id'").select("ref"), core).where("not present").select("ref")
+    lost = reference_states(lost, index).select("ref", F.when(F.col("present"), "deleted").otherwise("missing").alias("kind"))
+
+    received = F.struct("updated_at", "_webhook_received_at", "_loaded_at")
+    messages = table(spark, sf_dir, "shopify_customers").where("id is not null")
+    parents = messages.groupBy(F.col("id").cast("string").alias("ref")).agg(F.max_by("_webhook_topic", received).alias("topic"), F.min("_loaded_at").alias("arrived"))
+    state = reference_states(orders.where("field = 'source_customer_id'").select("ref"), parents)
+    state = state.select("ref", F.when(~F.col("present"), "missing").when(F.col("topic") == "customers/delete", "deleted").alias("kind"), "arrived")
+
+    customer = lookup_join(orders.where("field = 'customer_id'"), lost, "ref", "inner")
+    source = lookup_join(orders.where("field = 'source_customer_id'"), state, "ref", "inner")
+    source = source.withColumn("kind", F.coalesce("kind", F.when(F.col("arrived") > F.col("staged"), "late"))).where("kind is not null")
+    columns = ["order_id", "field", "kind", "period"]
+    return customer.select(columns).unionByName(source.select(columns)).distinct()
+
+
+def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of orphans by field, kind and month."""
+    return orphan_report(p5_found(spark, sf_dir), "field", "kind", "period")
+
+
+def delivered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The messages of the three tables under common names, `arrived` being the time of delivery."""
+
+    def micros(c: str) -> F.Column:
+        return F.unix_micros(F.col(c).cast("timestamp")).alias("version_us")
+
+    shopify = table(spark, sf_dir, "shopify_customers").select(
+        F.lit("shopify_customers").alias("table_name"), F.col("id").cast("string").alias("record_id"), F.col("_webhook_topic").alias("event_kind"), micros("updated_at"), F.col("_loaded_at").alias("arrived")
+    )
+    mailchimp = table(spark, sf_dir, "mailchimp_subscribers").select(
+        F.lit("mailchimp_subscribers").alias("table_name"), F.lower("subscriber_id").alias("record_id"), F.col("_webhook_event_type").alias("event_kind"), micros("last_changed"), F.col("_loaded_at").alias("arrived")
+    )
+    marks = table(spark, sf_dir, "incremental_watermarks").select(
+        F.lit("incremental_watermarks").alias("table_name"), F.col("last_event_id").alias("record_id"), F.col("pipeline_name").alias("event_kind"), micros("last_sync_timestamp"), F.col("updated_at").alias("arrived")
+    )
+    return shopify.unionByName(mailchimp).unionByName(marks).where("record_id is not null")
+
+
+def message_store(spark: SparkSession, sf_dir: str) -> MessageStore:
+    """A store of delivered() filled in two batches: what arrived before the last month that has arrivals, and that
+    month's messages, whose copies in older partitions the identifier index finds."""
+    store = MessageStore(spark, scratch(spark, "p7-store"), ["table_name", "record_id", "event_kind", "version_us"], ["arrived"], "concat(table_name, ' ', date_format(arrived, 'yyyy'))")
+    messages = delivered(spark, sf_dir)
+    last = messages.agg(F.date_trunc("month", F.max("arrived")).alias("m")).first()["m"]
+    if last is None:
+        store.ingest(messages)
+        return store
+    store.ingest(messages.where((F.col("arrived") < F.lit(last)) | F.col("arrived").isNull()))
+    store.ingest(messages.where(F.col("arrived") >= F.lit(last)))
+    return store
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct messages that were delivered more than once."""
+    rows = message_store(spark, sf_dir).read()
+    rows = delivered(spark, sf_dir).withColumn(COPIES, F.lit(0)) if rows is None else rows
+    return rows.where(F.col(COPIES) > 1).select("table_name", "record_id", "event_kind", "version_us")
+
+
+def p7_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exactly one copy of each message, with the number of its deliveries."""
+    rows = message_store(spark, sf_dir).read()
+    rows = delivered(spark, sf_dir).withColumn(COPIES, F.lit(0)) if rows is None else rows
+    return rows.select("table_name", "record_id", "event_kind", "version_us", F.col(COPIES).alias("copies"))
