@@ -10,6 +10,7 @@ from tributary.operators.flatten import flatten_customers, flatten_subscribers
 from tributary.operators.messages import COPIES, MessageStore
 from tributary.operators.orphans import orphan_report, reference_states
 from tributary.operators.skew import lookup_join
+from tributary.operators.timestamps import normalise
 from tributary.session import saved, scratch, table
 
 
@@ -109,3 +110,20 @@ def p7_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = message_store(spark, sf_dir).read()
     rows = delivered(spark, sf_dir).withColumn(COPIES, F.lit(0)) if rows is None else rows
     return rows.select("table_name", "record_id", "event_kind", "version_us", F.col(COPIES).alias("copies"))
+
+
+def source_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The time texts of the source tables with their sender's zone and date order (source_zones is a fixed table of
+    a row a sender, small enough to broadcast after a check of its size)."""
+    fields = [("shopify_customers_source", "accepts_marketing_updated_at", "_source"), ("mailchimp_subscribers_source", "timestamp_signup", "list_id"), ("mailchimp_subscribers_source", "last_changed", "list_id")]
+    parts = [table(spark, sf_dir, t).select(F.lit(t).alias("source_table"), "kafka_offset", F.lit(f).alias("field"), F.col(f).alias("value"), F.col(o).alias("origin")) for t, f, o in fields]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    zones = table(spark, sf_dir, "source_zones").dropDuplicates(["origin"]).select("origin", "tz_name", F.lower("date_order").alias("date_order"))
+    zones = F.broadcast(zones) if zones.limit(10_001).count() <= 10_000 else zones
+    return rows.join(zones, "origin", "left").withColumn("series", F.concat_ws("/", "source_table", "field", "origin"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each value that names an instant, in microseconds since 1970 UTC."""
+    keep = ["source_table", "kafka_offset", "field"]
+    return normalise(source_times(spark, sf_dir), "value", "tz_name", "date_order", "series", "kafka_offset", "value", keep)
