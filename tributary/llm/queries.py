@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tributary.functions.values import key_text, squeeze
+from tributary.llm.components import record_groups
 from tributary.llm.consensus import survivors, usable_token
+from tributary.llm.tokens import encode_corpus
 from tributary.session import table
 
 #: Rows matched with less confidence than this say nothing about the customer.
@@ -17,3 +20,19 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = F.coalesce(F.col("match_confidence") >= F.lit(LEAST_CONFIDENCE).cast("decimal(3,2)"), F.lit(True))
     fields = {c: F.when(trusted, usable_token(F.col(c))) for c in ("email_token", "first_name_token", "last_name_token")}
     return survivors(table(spark, sf_dir, "core_customers"), "customer_id", fields, "updated_at")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each distinct source record of entity_index with the group of all that is tied to it."""
+    source_id = key_text(F.col("source_id"))
+    rows = table(spark, sf_dir, "entity_index").select(
+        F.when(source_id.isNotNull(), F.struct(F.lower(squeeze(F.col("source"))).alias("source"), source_id.alias("source_id"))).alias("record"),
+        key_text(F.col("unified_id")).alias("id"),
+        key_text(F.col("linked_to_unified_id")).alias("linked"),
+    )
+    return record_groups(rows).select("record.source", "record.source_id", "group_id")
+
+
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document by byte_bpe_50k."""
+    return encode_corpus(table(spark, sf_dir, "documents"))
