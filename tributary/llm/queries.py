@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tributary.functions.values import key_text, squeeze
 from tributary.llm.components import record_groups
 from tributary.llm.consensus import survivors, usable_token
+from tributary.llm.packing import pack
 from tributary.llm.tokens import encode_corpus
 from tributary.session import table
 
@@ -36,3 +37,13 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document by byte_bpe_50k."""
     return encode_corpus(table(spark, sf_dir, "documents"))
+
+
+def document_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_corpus(table(spark, sf_dir, "documents")).select("doc_id", F.size("ids").alias("n_tokens"))
+
+
+def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens assigned to containers of 2,048 tokens: one row a document, or a piece of a longer one."""
+    packed = pack(document_sizes(spark, sf_dir), "doc_id", "n_tokens")
+    return packed.select("container", F.col("id").cast("bigint").alias("doc_id"), "part", F.col("size").alias("n_tokens"))
