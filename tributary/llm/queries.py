@@ -9,6 +9,7 @@ from tributary.functions.values import key_text, squeeze
 from tributary.llm.components import record_groups
 from tributary.llm.consensus import survivors, usable_token
 from tributary.llm.packing import pack
+from tributary.llm.residue import residue
 from tributary.llm.tokens import encode_corpus
 from tributary.session import table
 
@@ -47,3 +48,19 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's tokens assigned to containers of 2,048 tokens: one row a document, or a piece of a longer one."""
     packed = pack(document_sizes(spark, sf_dir), "doc_id", "n_tokens")
     return packed.select("container", F.col("id").cast("bigint").alias("doc_id"), "part", F.col("size").alias("n_tokens"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that are template residue, filler or an error page."""
+    return residue(table(spark, sf_dir, "documents")).select("doc_id")
+
+
+def p10_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of such documents by kind."""
+    return residue(table(spark, sf_dir, "documents")).groupBy("kind").agg(F.count(F.lit(1)).cast("bigint").alias("documents"))
+
+
+def p10_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus without them."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.join(residue(docs).select("doc_id"), "doc_id", "left_anti")

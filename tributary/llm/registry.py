@@ -10,6 +10,9 @@ QUERIES: dict[str, Query] = {
     "p4_found": queries.p4_found,
     "p8_ids": queries.p8_ids,
     "p9_containers": queries.p9_containers,
+    "p10_found": queries.p10_found,
+    "p10_kinds": queries.p10_kinds,
+    "p10_corpus": queries.p10_corpus,
 }
 
 ORACLE: dict[str, str] = {**sql.ORACLE}
