@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from tributary.functions.values import key_text, squeeze
 from tributary.llm.components import record_groups
 from tributary.llm.consensus import survivors, usable_token
+from tributary.llm.matching import match, profiles, with_confidence
 from tributary.llm.packing import pack
 from tributary.llm.residue import residue
 from tributary.llm.tokens import encode_corpus
-from tributary.session import table
+from tributary.operators.flatten import path_steps, staged
+from tributary.session import saved, table
 
 #: Rows matched with less confidence than this say nothing about the customer.
 LEAST_CONFIDENCE = "0.70"
@@ -64,3 +66,34 @@ def p10_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus without them."""
     docs = table(spark, sf_dir, "documents")
     return docs.join(residue(docs).select("doc_id"), "doc_id", "left_anti")
+
+
+def customer_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "shopify_customers").select("id", "email", F.col("first_name").alias("first"), F.col("last_name").alias("last"), "phone")
+    return profiles(rows.distinct())
+
+
+def subscriber_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names and a second phone are in merge_fields."""
+    rows = table(spark, sf_dir, "mailchimp_subscribers").select(F.lower(F.trim("subscriber_id")).alias("id"), F.col("email_address").alias("email"), "phone", "merge_fields").distinct()
+    rows = staged(rows, "merge_fields", *path_steps("merge_fields", upper_first=True, depth=1))
+    value = lambda k: F.get(F.filter("merge_fields", lambda e: e["key"] == k), F.lit(0))["value"]
+    phones = F.explode_outer(F.array_distinct(F.array(F.col("phone"), value("PHONE"))))
+    return profiles(rows.select("id", "email", value("FNAME").alias("first"), value("LNAME").alias("last"), phones.alias("phone")))
+
+
+def matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match(customer_profiles(spark, sf_dir), subscriber_profiles(spark, sf_dir))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct pairs of a customer and a subscriber who are the same person."""
+    return matched(spark, sf_dir).select(F.col("a_id").cast("bigint").alias("customer_id"), F.col("b_id").alias("subscriber_id"))
+
+
+def p2_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs with the rule that found them and its confidence; labels are the records of entity_index."""
+    index = table(spark, sf_dir, "entity_index").where("source in ('shopify_customers', 'mailchimp_subscribers')")
+    labels = index.select(F.when(F.col("source") == "shopify_customers", "a").otherwise("b").alias("side"), key_text(F.col("source_id")).alias("id"), key_text(F.col("unified_id")).alias("entity"))
+    pairs = with_confidence(saved(matched(spark, sf_dir), "p2-pairs"), labels)
+    return pairs.select(F.col("a_id").cast("bigint").alias("customer_id"), F.col("b_id").alias("subscriber_id"), "rule", F.round("confidence", 4).alias("confidence"))

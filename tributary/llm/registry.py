@@ -6,6 +6,8 @@ from tributary.llm import queries, sql
 from tributary.session import Query
 
 QUERIES: dict[str, Query] = {
+    "p2_found": queries.p2_found,
+    "p2_matches": queries.p2_matches,
     "p3_found": queries.p3_found,
     "p4_found": queries.p4_found,
     "p8_ids": queries.p8_ids,
