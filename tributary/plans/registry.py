@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from tributary.plans import core_problems as core
-from tributary.plans import core_sql
+from tributary.plans import core_sql, tables, tables_sql
 from tributary.session import Query
 
-FLAGSHIP = "p1_found"
+FLAGSHIP = "order_summary"
 
 QUERIES: dict[str, Query] = {
     "p1_found": core.p1_found,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Query] = {
     "p6_found": core.p6_found,
     "p7_found": core.p7_found,
     "p7_messages": core.p7_messages,
+    **tables.QUERIES,
 }
 
-ORACLE: dict[str, str] = {**core_sql.ORACLE}
+ORACLE: dict[str, str] = {**core_sql.ORACLE, **tables_sql.ORACLE}
