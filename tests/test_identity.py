@@ -1,0 +1,64 @@
+import pytest
+from pyspark.sql import functions as F
+
+from tributary.functions.metrics import Sample, firing, metric_names, render_exposition
+from tributary.functions.values import key_text, numeric_id
+from tributary.operators import entity, pii
+
+
+def test_tokens(spark):
+    df = spark.createDataFrame([(" A@b.C ", "+1 (555) 123-4567", "Ann"), ("a@B.c", "12345", " "), (None, None, None)], "email string, phone string, name string")
+    out, vault = pii.tokenize_frame(df, {"email": "email", "phone": "phone", "name": "name", "no": "name"}, "p")
+    r = out.collect()
+    assert out.columns == ["email_token", "phone_token", "name_token"]
+    assert r[0].email_token == r[1].email_token and len(r[0].email_token) == 36
+    assert r[1].phone_token is None and r[1].name_token is None and r[2].email_token is None
+    assert {v.value for v in vault.collect()} == {"a@b.c", "+15551234567", "ann"}
+    assert pii.vault_additions(vault, vault).count() == 0
+    found, audit = pii.detokenize(vault, out.select(F.col("email_token").alias("token")), "me", "why", "2024-01-01")
+    assert [x.value for x in found.collect()] == ["a@b.c"] and audit.first().pii_class == "email"
+    assert pii.tokenize_frame(df, {"x": "name"}, "p")[1] is None
+    for bad in (lambda: pii.detokenize(vault, vault, " ", "r", "2024-01-01"), lambda: pii.tokenize_frame(df, {"email": "email"}, ""), lambda: pii.normalize(F.col("x"), "shoe")):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_exact_resolution(spark):
+    p = spark.createDataFrame([("s", "1", "t", 1), ("g", "2", "t", 2), ("s", "3", None, 3), ("s", "4", " ", 4)], "source string, source_id string, email_token string, staged_at int")
+    r = {x.source_id: (x.unified_id, x.match_type) for x in entity.resolve_exact(p).collect()}
+    assert r["1"][0] == r["2"][0] and (r["1"][1], r["2"][1]) == ("new_entity", "exact_email")
+    assert len({v[0] for v in r.values()}) == 3 and r["3"][1] == r["4"][1] == "new_entity"
+    q = entity.quality(entity.resolve_exact(p)).first()
+    assert (q.records, q.entities, q.cross_source_entities, q.split_records) == (4, 3, 1, 0)
+
+
+def test_jaro_winkler():
+    assert entity.jaro_winkler(None, "a") == 0 and entity.jaro_winkler("a", "a") == 1 and entity.jaro_winkler("", "a") == 0
+    assert round(entity.jaro_winkler("martha", "marhta"), 4) == 0.9611
+    assert round(entity.jaro_winkler("dixon", "dicksonx"), 4) == 0.8133
+
+
+def test_fuzzy_takes_best_and_smallest(spark):
+    p = spark.createDataFrame([("l", "r2", "ann lee", "ann lee", "x", "x"), ("l", "r1", "ann lee", "ann lee", "x", "x"), ("l", "r0", "ann lee", "bob", "x", None), ("m", "r1", None, "a", "", "")], "l string, r string, l_name string, r_name string, l_address string, r_address string")
+    assert [tuple(x) for x in entity.fuzzy_matches(p, "l", "r").collect()] == [("l", "r1", 1.0)]
+
+
+def test_golden(spark):
+    df = spark.createDataFrame([("k", 2, None, "c"), ("k", 1, "b", None), ("k", 0, None, None)], "k string, o int, x string, y string")
+    assert [tuple(r) for r in entity.golden_record(df, "k", [F.col("o")], ["x", "y"]).collect()] == [("k", "b", "c")]
+
+
+def test_ids(spark):
+    v = ["42", " 42", "0042", "42.0", "gid://h/Customer/42", "GID://h/C/42?x=1", "n/a", "", "0", None, "cus_1"]
+    df = spark.createDataFrame([(x,) for x in v], "v string").select(numeric_id(F.col("v")).alias("n"), key_text(F.col("v")).alias("k"))
+    assert [r.n for r in df.collect()] == ["42"] * 6 + [None] * 4 + ["cus_1"]
+
+
+def test_metrics(spark):
+    text = render_exposition([Sample("table_rows", 3, {"b": 'q"', "a": "x"}), Sample("table_files", 1)])
+    assert 'table_rows{a="x",b="q\\""} 3\n' in text and text.endswith("table_files 1\n")
+    with pytest.raises(ValueError):
+        render_exposition([Sample("nope", 1)])
+    assert metric_names('sum by (t) (rate(table_rows{a="x"}[5m])) > 3 and job_success == 0') == {"table_rows", "job_success"}
+    s = spark.createDataFrame([("table_files", "t", 120.0), ("table_files", "u", 2.0)], "name string, labels string, value double")
+    assert [(r.alert, r.labels) for r in firing(s, {"many": ("table_files", ">", 100)}).collect()] == [("many", "t")]
