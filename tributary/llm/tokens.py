@@ -205,7 +205,7 @@ def encode_corpus(
     encoded = once.mapInArrow(encode, "key binary, ids array<int>")
     placed = full.mapInArrow(lambda bs: _pieces(bs, bits, longest, False), f"doc {kind}, tkey binary, seq int, safe boolean, key binary")
     parts = lookup_join(placed, encoded, "key", "inner")
-    whole = parts.groupBy("doc", "tkey").agg(F.sort_array(F.collect_list(F.struct("seq", "safe", "ids"))).alias("parts"), F.bool_and("safe").alias("all_safe"))
+    whole = parts.groupBy("doc", "tkey").agg(F.sort_array(F.collect_set(F.struct("seq", "safe", "ids"))).alias("parts"), F.bool_and("safe").alias("all_safe"))
 
     def repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary, folder)
