@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tributary.functions.exprs import date_parts, money, rate
-from tributary.operators import entity, pii, windows
+from tributary.operators import entity, pii, staging, windows
 from tributary.operators.incremental import recompute_touched
 from tributary.operators.skew import lookup_join
 from tributary.sources.lake import LakeTable
@@ -399,6 +399,18 @@ def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return i.groupBy("source").agg(F.count(F.lit(1)).alias("rows"), rate(F.sum("m"), F.count(F.lit(1))).alias("matched_rate"))
 
 
+def staged_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """shopify_customers staged and tokenised; one row a raw message."""
+    out, _ = staging.stage(table(spark, sf_dir, "shopify_customers"), staging.SPECS["shopify_customers"], PEPPER)
+    return out.select("customer_id", "email_token", "phone_token", "address_count", "total_spent", F.unix_micros("updated_at").alias("updated_us"), "_webhook_topic")
+
+
+def staged_subscribers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """mailchimp_subscribers staged, the latest load of each."""
+    out, _ = staging.stage(table(spark, sf_dir, "mailchimp_subscribers"), staging.SPECS["mailchimp_subscribers"], PEPPER)
+    return out.groupBy("subscriber_id_token").agg(F.max(F.unix_micros("_loaded_at")).alias("loaded_us"), F.count(F.lit(1)).alias("rows"))
+
+
 NAMES = [
     "order_summary", "customer_metrics", "payment_metrics", "campaign_metrics", "events_dedup", "sessions", "sessions_6h", "engagement_daily",
     "engagement_by_channel", "page_performance", "funnel", "sales_dashboard", "sales_growth", "executive_summary", "engagement_dashboard",
@@ -406,5 +418,6 @@ NAMES = [
     "entity_blocked_pairs", "entity_fuzzy", "golden_customers", "json_extract", "asof_join", "anti_join", "semi_lookup", "merge_upsert",
     "merge_insert", "time_travel", "incremental_equals_full", "stream_raw_append", "stream_window_counts", "bench_simple", "bench_filter",
     "bench_join", "bench_analytics", "null_rate", "row_counts", "top_users", "replacing_merge", "summing_merge", "median_value", "coverage",
+    "staged_customers", "staged_subscribers",
 ]
 QUERIES = {n: globals()[n] for n in NAMES}

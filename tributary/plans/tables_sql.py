@@ -56,6 +56,17 @@ _GOLD = ", ".join(
     for c in ("city", "country_code", "company", "job_title", "currency")
 )
 
+_PHONE = "CASE WHEN length(regexp_replace(phone, '[^0-9+]', '', 'g')) >= 7 THEN regexp_replace(phone, '[^0-9+]', '', 'g') END"
+
+
+def _low(c: str) -> str:
+    return f"nullif(lower(trim({c}, ' ')), '')"
+
+
+def _tok(kind: str, value: str) -> str:
+    return f"'tok_' || substr(sha256('pepper-of-the-tests|{kind}|' || {value}), 1, 32)"
+
+
 ORACLE = {
     "order_summary": f"SELECT CAST(o_orderdate AS DATE) AS order_date, n_name, o_orderpriority, count(*) AS total_orders, count(DISTINCT o_custkey) AS customers, CAST(sum({_P}) AS DECIMAL(18,2)) AS revenue, count(*) FILTER (WHERE o_orderstatus = 'F') AS finished_orders, {_rate('count(*) FILTER (WHERE o_orderstatus = $$F$$)', 'count(*)')} AS finished_rate FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2, 3",
     "customer_metrics": f"SELECT c_custkey, c_mktsegment, coalesce(orders, 0) AS orders, first_order, last_order, first_value, last_value, total_spent, date_diff('day', last_order, DATE '2001-08-01') AS days_since_last, CASE WHEN orders > 1 THEN {_rate('date_diff($$day$$, first_order, last_order)', 'orders - 1', 2)} END AS order_frequency_days FROM customer LEFT JOIN ({_ORDER_STATS}) USING (c_custkey)",
@@ -105,5 +116,7 @@ SELECT d.*, top_channel, round(avg(sessions) OVER (ORDER BY session_date ROWS 6
     "replacing_merge": "SELECT source_table, pipeline_name, max(epoch_us(updated_at)) AS updated_us, arg_max(coalesce(records_processed, -1), (epoch_us(updated_at), coalesce(records_processed, -1))) AS records_processed FROM incremental_watermarks GROUP BY 1, 2",
     "summing_merge": "SELECT source_table, status, sum(records_processed) AS records, sum(bytes_processed) AS bytes FROM incremental_watermarks GROUP BY 1, 2",
     "median_value": "SELECT event_type, round(median(value), 4) AS median_value FROM events GROUP BY 1",
+    "staged_customers": f"SELECT CAST(id AS VARCHAR) AS customer_id, {_tok('email', _low('email'))} AS email_token, {_tok('phone', _PHONE)} AS phone_token, coalesce(CASE WHEN json_valid(addresses) AND json_type(addresses) = 'ARRAY' THEN json_array_length(addresses) END, 0) AS address_count, total_spent, epoch_us(updated_at) AS updated_us, _webhook_topic FROM shopify_customers",
+    "staged_subscribers": f"SELECT {_tok('mailchimp_id', _low('subscriber_id'))} AS subscriber_id_token, max(epoch_us(_loaded_at)) AS loaded_us, 1 AS rows FROM mailchimp_subscribers GROUP BY 1",
     "coverage": f"SELECT coalesce(source, 'unknown') AS source, count(*) AS rows, {_rate('sum((match_type <> $$new_entity$$)::BIGINT)', 'count(*)')} AS matched_rate FROM entity_index GROUP BY 1",
 }
