@@ -31,6 +31,7 @@ def test_packing(spark, task_items):
     assert {x.id for x in parts} <= {a for a, b in items if b and b > 100}
     least = -(-sum(want.values()) // 100)
     assert len(fill) <= least * 1.02 + 2
+    assert len({(x.container, x.id, x.part) for x in rows}) >= len(rows) - 1
     # no two containers that could be one
     free = sorted(fill.values())
     assert len(free) < 2 or free[0] + free[1] > 100 or task_items < 1000
@@ -38,3 +39,11 @@ def test_packing(spark, task_items):
 
 def test_empty(spark):
     assert pack(spark.createDataFrame([], "id string, size int"), "id", "size").count() == 0
+
+
+def test_repeated_items(spark):
+    rows = pack(spark.createDataFrame([("same", 60)] * 9 + [("same", 250)] * 2, "id string, size int"), "id", "size", 100).collect()
+    fill = Counter()
+    for x in rows:
+        fill[x.container] += x.size
+    assert max(fill.values()) <= 100 and sum(fill.values()) == 9 * 60 + 500 and len(fill) == 9 + 4 + 1

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,7 +56,7 @@ SCHEMA = pa.schema(
 )
 
 
-def _pack(batches: Iterator[pa.RecordBatch], capacity: int) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterator[pa.RecordBatch], capacity: int, level: int) -> Iterator[pa.RecordBatch]:
     names, sizes, contents = [], [], []
     for b in batches:
         names += b.column("name").to_pylist()
@@ -75,9 +76,9 @@ def _pack(batches: Iterator[pa.RecordBatch], capacity: int) -> Iterator[pa.Recor
         n += len(own)
         borders.append(offsets[n])
     lists = pa.ListArray.from_arrays(pa.array(borders, pa.int32()), moved.values)
-    first = [order[own[0]] for own in bins]
+    task = TaskContext.get().partitionId()
     out = pa.RecordBatch.from_arrays(
-        [pa.array([names[i] for i in first]), pa.array([sum(sizes[order[j]] for j in own) for own in bins], pa.int32()), lists.cast(SCHEMA.field("contents").type)],
+        [pa.array([f"{level}.{task}.{i}" for i in range(len(bins))], pa.string()), pa.array([sum(sizes[order[j]] for j in own) for own in bins], pa.int32()), lists.cast(SCHEMA.field("contents").type)],
         names=["name", "size", "contents"],
     )
     for at in range(0, out.num_rows, 10_000):
@@ -99,7 +100,8 @@ def pack(items: DataFrame, id: str, size: str, capacity: int = CAPACITY, full: f
 
     Items above the capacity are split into full pieces, parts 0, 1, ..., and a rest; no other item is split. Items
     without size (null, zero or less) need no container and give no row. Ids need not be unique: repeated rows are
-    items of their own, told apart only by their containers. A container is named by its first item. Other columns
+    items of their own, told apart only by their containers. A container is named by the round, task
+    and place in which it came about. Other columns
     are not read; an empty table gives an empty one.
 
     A task sorts and packs about `task_items` items, whatever their number; the number of rounds grows with its
@@ -112,7 +114,7 @@ def pack(items: DataFrame, id: str, size: str, capacity: int = CAPACITY, full: f
     tasks = max(1, -(-n // task_items))
     while n:
         dealt = todo.repartition(tasks, F.xxhash64("name", F.lit(r))) if tasks > 1 else todo.coalesce(1)
-        packed = saved(dealt.mapInArrow(lambda bs: _pack(bs, capacity), f"name string, size int, contents {CONTENTS}"), "pack-round")
+        packed = saved(dealt.mapInArrow(lambda bs, level=r: _pack(bs, capacity, level), f"name string, size int, contents {CONTENTS}"), "pack-round")
         open_ = packed.where(F.col("size") < int(full * capacity))
         left = open_.count()
         few = -(-left // task_items) if left else 0

@@ -30,11 +30,12 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each distinct source record of entity_index with the group of all that is tied to it."""
     source_id = key_text(F.col("source_id"))
     rows = table(spark, sf_dir, "entity_index").select(
-        F.when(source_id.isNotNull(), F.struct(F.lower(squeeze(F.col("source"))).alias("source"), source_id.alias("source_id"))).alias("record"),
+        F.concat(F.coalesce(F.lower(squeeze(F.col("source"))), F.lit("")), F.lit("\x1f"), source_id).alias("record"),
         key_text(F.col("unified_id")).alias("id"),
         key_text(F.col("linked_to_unified_id")).alias("linked"),
     )
-    return record_groups(rows).select("record.source", "record.source_id", "group_id")
+    part = lambda i: F.split_part("record", F.lit("\x1f"), F.lit(i))
+    return record_groups(rows).select(F.nullif(part(1), F.lit("")).alias("source"), part(2).alias("source_id"), "group_id")
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
