@@ -44,3 +44,10 @@ def test_lookup_join_equals_join(spark, how):
 def test_lookup_join_refuses_other_kinds(spark):
     with pytest.raises(ValueError):
         lookup_join(spark.range(1), spark.range(1), "id", "full")
+
+
+def test_binary_hot_keys(spark):
+    left = spark.range(60).selectExpr("if(id % 2 = 0, cast('hot' as binary), cast(concat('k', id) as binary)) as k", "id")
+    right = spark.sql("select cast('hot' as binary) as k, 1 as w union all select cast('k1' as binary), 2")
+    got = lookup_join(left, right, "k", "inner", 4, 10)
+    assert got.count() == 31
