@@ -34,7 +34,7 @@ def order_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     staged = F.min("staged").over(Window.partitionBy("order_id"))
     fields = [F.struct(F.lit(f).alias("field"), F.col(f).alias("ref")) for f in ("customer_id", "source_customer_id")]
     orders = orders.withColumn("staged", staged).select("order_id", "order_date", "staged", F.explode(F.array(*fields)).alias("x"))
-    return orders.select("order_id", "x.field", "x.ref", F.date_format("order_date", "yyyy-MM").alias("period"), "staged").where("ref is not null")
+    return orders.select("order_id", "x.field", "x.ref", F.date_format(F.to_utc_timestamp("order_date", F.current_timezone()), "yyyy-MM").alias("period"), "staged").where("ref is not null")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
