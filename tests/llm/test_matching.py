@@ -53,3 +53,30 @@ def test_confidence_and_empty(spark):
     assert [(x.a_id, x.b_id, round(x.confidence, 4)) for x in r] == [("1", "m1", round((1 + 3.6) / 5, 4))]
     assert with_confidence(got, labels.limit(0)).first().confidence == 0.9
     assert found(spark, [], []) == []
+
+
+def crowd(n, side):
+    """Profiles of one busy e-mail, phone and number, with slipped, swapped, short, hidden and missing names."""
+    import random
+
+    r = random.Random(f"{side}{n}")
+    firsts, lasts = ["James", "Jim", "Jmaes", "J.", "Jame", "Lee", "Ann", "Anna", "Zoe", "Oez", "Samuel", "Sam", None], ["Lee", "Leee", "Moor", "Room", "Orom", "James", "Ode-Moor", "Li", None]
+    mails = ["desk@x.example", "lee@x.example", "12345@x.example", "jlee12345@x.example", "jlee12345@y.example", "jleee12345@x.example", "jle12345@x.exampl", "sam.moor12345@x.example", None]
+    return [(f"{side}{i}", r.choice(mails), r.choice(firsts), r.choice(lasts), r.choice(["5551112222", None])) for i in range(n)]
+
+
+def test_hot_contacts_lose_no_pair(spark):
+    from tributary.llm.matching import FORMS, PASSES, WITHIN, WITHIN_FORMS, cascade
+
+    a, b = (profiles(spark.createDataFrame([(*r, "x") for r in crowd(110, s)], P)).cache() for s in "ab")
+    for x, y, passes, forms in ((a, b, PASSES, FORMS), (a, a, WITHIN, WITHIN_FORMS)):
+        split, whole = ({tuple(r) for r in cascade(x, y, passes, forms, n).collect()} for n in (0, 10**9))
+        assert split == whole and len(whole) > 200
+
+
+def test_busy_phone_and_mailbox_keep_their_people(spark):
+    names = [(c * 3 + d * 3, d * 3 + c * 4) for c in "abcdefgh" for d in "klmnop"]
+    a = [(str(i), "desk@shop.example" if i % 2 else None, f, n, "5551112222") for i, (f, n) in enumerate(names)]
+    b = [(f"m{i}", "desk@shop.example" if i % 2 else None, f, n, "555-111-2222") for i, (f, n) in enumerate(names)]
+    got = set(found(spark, a, b))
+    assert {(str(i), f"m{i}") for i in range(len(names))} == got

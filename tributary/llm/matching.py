@@ -155,21 +155,133 @@ PASSES: list[tuple[str, list[tuple[str, str]]]] = [
 ]
 #: Passes by which two ids of one source are the same person.
 WITHIN = [("emails", [("email", "first_exact and last_agrees")]), ("phones", [("phone", "first_exact and last_agrees")])]
-#: A contact of more different names than this is no one's own (a counter, a call centre): it ties nobody.
-MOST_NAMES = 25
+#: A contact that would form more pairs than this is split by names, or by spellings of the e-mail.
+HOT_PAIRS = 625
+#: Longer local parts meet each other without forms of their own.
+LONG_LOCAL = 64
 
+Forms = list[Column]
 
-def _keys(p: DataFrame, keys: str) -> DataFrame:
-    return p.select("id", F.explode(F.array_distinct(F.expr(keys))).alias("key"))
 
+def _form(tag: str, text: Column, spelt: Column | None = None) -> Column:
+    return F.struct(F.concat(F.lit(tag), text).alias("form"), (F.lit(None).cast("string") if spelt is None else spelt).alias("spelt"))
 
-def _own(a: DataFrame, b: DataFrame, keys: str) -> DataFrame:
-    """Keys that are not shared by more than MOST_NAMES names; the counts are combined before the shuffle."""
-    names = [p.select(F.explode(F.array_distinct(F.expr(keys))).alias("key"), F.element_at(F.concat(F.array_sort("lasts"), F.array(F.lit(""))), 1).alias("name")) for p in (a, b)]
-    return names[0].unionByName(names[1]).distinct().groupBy("key").count().where(F.col("count") <= MOST_NAMES).select("key")
 
+def _plain(tag: str, texts: Column) -> Column:
+    return F.transform(texts, lambda x: _form(tag, x))
 
-def cascade(a: DataFrame, b: DataFrame, passes=PASSES) -> DataFrame:
+
+def _without(x: Column) -> Column:
+    """x with one letter left out, for each of its letters."""
+    return F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))
+
+
+def _near(tag: str, names: Column) -> Column:
+    """Forms of which two names have one in common if they are near(): the name, the name less a letter (any one slip
+    but a swap of letters apart), and its letters in order (any swap)."""
+    long = F.filter(names, lambda x: F.length(x) >= 3)
+    less = F.flatten(F.transform(long, lambda x: F.transform(F.array_distinct(_without(x)), lambda y: _form(tag, y, x))))
+    mixed = F.transform(long, lambda x: _form(tag, F.concat(F.lit("~"), F.array_join(F.array_sort(F.split(x, "")), "")), x))
+    # Forms of one spelling don't meet: equal names have met by the name itself.
+    return F.concat(_plain(tag, names), less, mixed)
+
+
+def _if(condition: Column, forms: Column) -> Column:
+    return F.when(condition, forms).otherwise(F.filter(forms, lambda _: F.lit(False)))
+
+
+def _initials(tag: str, side: str, only: Column | None = None, other: Column | None = None) -> Forms:
+    """An initial meets all names that begin with it. only: rows of side a, other: rows of side b that take part."""
+    all_ = F.transform("full", lambda x: F.substring(x, 1, 1))
+    single = F.filter("full", lambda x: F.length(x) == 1)
+    pair = {"a": (all_, single), "b": (single, all_)}[side]
+    takes = only if side == "a" else other
+    return [_plain(f"{tag}{i}", x) if takes is None else _if(takes, _plain(f"{tag}{i}", x)) for i, x in enumerate(pair)]
+
+
+def _swapped(side: str) -> Forms:
+    x, y = ("lasts", "full") if side == "a" else ("full", "lasts")
+    return [_near("x", F.col(x)), _near("y", F.col(y))]
+
+
+def _email_forms(side: str) -> Forms:
+    """For rules that ask for agreeing first names or for an unknown one that the e-mail doesn't deny."""
+    nameless = F.size("firsts") == 0
+    words = F.filter(F.split(F.regexp_extract("key", "^([^@]*)@", 1), "[^a-z]+"), lambda t: F.length(t) > 2)
+    by_last = lambda t: F.exists("lasts", lambda n: near(t, n) | F.endswith(t, n) | F.startswith(t, n) | (F.levenshtein(F.substring(t, 2, 99), n) <= 2))
+    by_first = lambda t: F.exists("full", lambda y: near(t, y) | _initial(t, y))
+    # One word of the address that is not in the nameless one's own last names must be in the other's names.
+    asked = F.coalesce(F.get(F.filter(words, lambda t: ~by_last(t)), F.lit(0)), F.lit(""))
+    told = F.concat(F.array(F.lit("")), F.filter(words, lambda t: nameless | by_last(t) | by_first(t)))
+    u, v = ("u", "v") if side == "a" else ("v", "u")
+    unknown = [_if(nameless, _plain(u, F.array(asked))), _plain(v, told)]
+    return [_near("f", F.col("full")), *_initials("i", side), *_swapped(side), *unknown]
+
+
+def _last_forms(side: str) -> Forms:
+    return [_near("l", F.col("lasts")), *_swapped(side)]
+
+
+def _phone_forms(side: str) -> Forms:
+    """For rules that ask for agreeing last names, for agreeing first names where a last name is unknown, or for an
+    e-mail that tells the other's name."""
+    nameless, no_last = F.size("firsts") == 0, F.size("lasts") == 0
+    always = F.lit(True)
+    c, d = ("c", "d") if side == "a" else ("d", "c")
+    first = [_if(no_last, _near(c, F.col("full"))), _near(d, F.col("full")), *_initials("i", side, no_last, always), *_initials("j", side, always, no_last)]
+    short = F.flatten(F.transform("firsts", lambda f: F.transform("lasts", lambda n: F.concat(F.substring(f, 1, 1), n))))
+    m, n = ("m", "n") if side == "a" else ("n", "m")
+    mail = [_if(nameless, _near(m, F.col("local"))), _near(n, F.col("full")), _plain(n, short)]
+    return [*_last_forms(side), *first, *mail]
+
+
+def _slip_forms(side: str) -> Forms:
+    """For rules that ask for SLIP: of two e-mails at most two slips apart either the local parts are equal, or each
+    part has one slip, or the domains are equal, or only the place of the @ differs."""
+    local = lambda e: F.substring_index(e, "@", 1)
+    ordinary = F.filter("emails", lambda e: F.length(local(e)) <= LONG_LOCAL)
+    one = F.flatten(F.transform(ordinary, lambda e: F.concat(F.array(local(e)), _without(local(e)))))
+    two = F.flatten(F.transform(ordinary, lambda e: F.flatten(F.transform(F.concat(F.array(local(e)), _without(local(e))), lambda x: F.transform(F.concat(F.array(x), F.when(F.length(x) > 0, _without(x)).otherwise(F.array(x))), lambda y: F.concat(y, F.lit("@"), F.substring_index(e, "@", -1)))))))
+    long = F.transform(F.filter("emails", lambda e: F.length(local(e)) >= LONG_LOCAL - 1), lambda e: F.lit(""))
+    joined = F.transform("emails", lambda e: F.replace(e, F.lit("@"), F.lit("")))
+    return [_plain(t, F.array_distinct(x)) for t, x in (("s", F.transform("emails", local)), ("1", one), ("2", two), ("3", long), ("4", joined))]
+
+
+#: The forms by which hot keys are split, so chosen that any pair one of the rules holds for has one in common.
+FORMS = {"emails": _email_forms, "phones": _phone_forms, NUMBERS: _slip_forms}
+WITHIN_FORMS = {"emails": _last_forms, "phones": _last_forms}
+
+
+def _keys(p: DataFrame, keys: str, columns: tuple[str, ...] = ("id",)) -> DataFrame:
+    return p.select(*columns, F.explode(F.array_distinct(F.expr(keys))).alias("key"))
+
+
+def _hot(a: DataFrame, b: DataFrame, keys: str, hot_pairs: int) -> DataFrame:
+    """Keys that form more pairs than hot_pairs; the counts are combined before the shuffle."""
+    both = _keys(a, keys, ()).withColumn("n", F.lit(1)).withColumn("m", F.lit(0)).unionByName(_keys(b, keys, ()).withColumn("n", F.lit(0)).withColumn("m", F.lit(1)))
+    counts = both.groupBy("key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    return saved(counts.where(F.col("n") * F.col("m") > hot_pairs).select("key", F.lit(True).alias("hot")), "match-hot")
+
+
+def _split(p: DataFrame, keys: str, hot: DataFrame, forms: Forms, side: str) -> DataFrame:
+    """(<side>_id, key, form, <side>_spelt): one row a key, and for a hot one a row a form."""
+    rows = _keys(p, keys, ("id", "emails", "firsts", "lasts", "full", "local")).join(hot, "key", "left")
+    one = F.array(_form("", F.lit("")))
+    return rows.select(F.col("id").alias(f"{side}_id"), "key", F.explode(F.when(F.col("hot"), F.array_distinct(F.concat(*forms))).otherwise(one)).alias("x")).select(
+        f"{side}_id", "key", "x.form", F.col("x.spelt").alias(f"{side}_spelt")
+    )
+
+
+def candidates(a: DataFrame, b: DataFrame, keys: str, forms, hot_pairs: int = HOT_PAIRS) -> DataFrame:
+    """Distinct (a_id, b_id) that share a key; of a hot key those that share one of the forms too.
+
+    No key is left out: whatever a rule of the pass holds for is among the pairs, however many rows a key has."""
+    hot = _hot(a, b, keys, hot_pairs)
+    met = _split(a, keys, hot, forms("a"), "a").join(_split(b, keys, hot, forms("b"), "b"), ["key", "form"])
+    return met.where("a_spelt is null or b_spelt is null or a_spelt <> b_spelt").select("a_id", "b_id").distinct()
+
+
+def cascade(a: DataFrame, b: DataFrame, passes=PASSES, forms=FORMS, hot_pairs: int = HOT_PAIRS) -> DataFrame:
     """(a_id, b_id, rule): the pairs of two profiles() tables that some rule resolves, with the first that does.
 
     Each pass: exact join on the pass's key, anti-join of pairs resolved before, check of the names. Pairs, and not
@@ -178,8 +290,7 @@ def cascade(a: DataFrame, b: DataFrame, passes=PASSES) -> DataFrame:
     wide = {s: p.select(*[F.col(c).alias(f"{s}_{c}") for c in p.columns]) for s, p in (("a", a), ("b", b))}
     done: DataFrame | None = None
     for keys, rules in passes:
-        left = _keys(a, keys).join(_own(a, b, keys), "key", "left_semi")
-        pairs = left.select(F.col("id").alias("a_id"), "key").join(_keys(b, keys).select(F.col("id").alias("b_id"), "key"), "key").select("a_id", "b_id").distinct()
+        pairs = candidates(a, b, keys, forms[keys], hot_pairs)
         if done is not None:
             pairs = pairs.join(done, ["a_id", "b_id"], "left_anti")
         both = pairs.join(wide["a"], "a_id").join(wide["b"], "b_id").select("a_id", "b_id", "a_emails", "b_emails", *[e.alias(n) for n, e in name_columns().items()])
@@ -202,7 +313,7 @@ def match(a: DataFrame, b: DataFrame) -> DataFrame:
     """(a_id, b_id, rule) of the same people in two tables of profiles()."""
     a, b = saved(a, "profiles"), saved(b, "profiles")
     pairs = cascade(a, b)
-    same = [cascade(p, p, WITHIN).where("a_id <> b_id").select("a_id", "b_id") for p in (a, b)]
+    same = [cascade(p, p, WITHIN, WITHIN_FORMS).where("a_id <> b_id").select("a_id", "b_id") for p in (a, b)]
     return carried(pairs, *same)
 
 
