@@ -1,5 +1,9 @@
 import datetime
+import os
 
+import pytest
+
+from tests.test_queries import SF
 from tributary.operators.messages import COPIES, MessageStore
 
 T0 = datetime.datetime(2024, 1, 1)
@@ -45,3 +49,24 @@ def test_hot_message(spark, tmp_path):
     s.ingest(spark.range(3000).selectExpr("if(id % 3 = 0, 'hot', cast(id as string)) as id", "1 as v", "timestamp '2024-01-01' as arrived", "'x' as _best"))
     assert s.read().count() == 2001
     assert s.read().where("id = 'hot'").first()[COPIES] == 1000
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name,key,arrived", [
+    ("shopify_customers", lambda r: (r.id, r._webhook_topic, r.updated_at), "_loaded_at"),
+    ("mailchimp_subscribers", lambda r: (r.subscriber_id and r.subscriber_id.lower(), r._webhook_event_type, r.last_changed), "_loaded_at"),
+    ("incremental_watermarks", lambda r: (r.last_event_id, r.pipeline_name, r.last_sync_timestamp), "updated_at"),
+])
+def test_messages_come_out_whole(spark, name, key, arrived):
+    from tributary.plans.registry import QUERIES
+
+    raw = spark.read.parquet(f"{SF}/{name}.parquet")
+    rest = [arrived, *[c for c in raw.columns if c != arrived]]
+    copies = {}
+    for r in raw.collect():
+        if key(r)[0] is not None:
+            copies.setdefault(key(r), []).append(r)
+    want = sorted(repr([*max(rows, key=lambda r: [(r[c] is not None, r[c]) if r[c] is not None else (False,) for c in rest]), len(rows)]) for rows in copies.values())
+    got = QUERIES[f"p7_{name}"](spark, SF)
+    assert got.columns == [*raw.columns, "copies"]
+    assert sorted(repr(list(r)) for r in got.collect()) == want and any(len(x) > 1 for x in copies.values())

@@ -66,50 +66,73 @@ def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphan_report(p5_found(spark, sf_dir), "field", "kind", "period")
 
 
-def delivered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The messages of the three tables under common names, `arrived` being the time of delivery."""
-
-    def micros(c: str) -> F.Column:
-        return F.unix_micros(F.col(c).cast("timestamp")).alias("version_us")
-
-    shopify = table(spark, sf_dir, "shopify_customers").select(
-        F.lit("shopify_customers").alias("table_name"), F.col("id").cast("string").alias("record_id"), F.col("_webhook_topic").alias("event_kind"), micros("updated_at"), F.col("_loaded_at").alias("arrived")
-    )
-    mailchimp = table(spark, sf_dir, "mailchimp_subscribers").select(
-        F.lit("mailchimp_subscribers").alias("table_name"), F.lower("subscriber_id").alias("record_id"), F.col("_webhook_event_type").alias("event_kind"), micros("last_changed"), F.col("_loaded_at").alias("arrived")
-    )
-    marks = table(spark, sf_dir, "incremental_watermarks").select(
-        F.lit("incremental_watermarks").alias("table_name"), F.col("last_event_id").alias("record_id"), F.col("pipeline_name").alias("event_kind"), micros("last_sync_timestamp"), F.col("updated_at").alias("arrived")
-    )
-    return shopify.unionByName(mailchimp).unionByName(marks).where("record_id is not null")
-
-
-def message_store(spark: SparkSession, sf_dir: str) -> MessageStore:
-    """A store of delivered() filled in two batches: what arrived before the last month that has arrivals, and that
-    month's messages, whose copies in older partitions the identifier index finds."""
-    store = MessageStore(spark, scratch(spark, "p7-store"), ["table_name", "record_id", "event_kind", "version_us"], ["arrived"], "concat(table_name, ' ', date_format(arrived, 'yyyy'))")
-    messages = delivered(spark, sf_dir)
-    last = messages.agg(F.date_trunc("month", F.max("arrived")).alias("m")).first()["m"]
+#: Of each message table: SQL of the message's id, and the columns of its kind, its version and its delivery.
+MESSAGES = {
+    "shopify_customers": ("cast(id as string)", "_webhook_topic", "updated_at", "_loaded_at"),
+    "mailchimp_subscribers": ("lower(subscriber_id)", "_webhook_event_type", "last_changed", "_loaded_at"),
+    "incremental_watermarks": ("last_event_id", "pipeline_name", "last_sync_timestamp", "updated_at"),
+}
+MESSAGE_KEYS = ["record_id", "event_kind", "version_us"]
+
+
+def delivered(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The messages of a table with all their columns, and MESSAGE_KEYS."""
+    record, kind, version, _ = MESSAGES[name]
+    keys = [F.expr(record).alias("record_id"), F.col(kind).alias("event_kind"), F.unix_micros(F.col(version).cast("timestamp")).alias("version_us")]
+    return table(spark, sf_dir, name).select(*keys, "*").where("record_id is not null")
+
+
+def message_rows(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One whole row a message of a table, with COPIES: of copies that differ, the one delivered last.
+
+    They come out of a store of delivered() filled in two batches: what arrived before the last month that has
+    arrivals, and that month's messages, whose copies in older partitions the identifier index finds."""
+    arrived = MESSAGES[name][3]
+    store = MessageStore(spark, scratch(spark, "p7-store"), MESSAGE_KEYS, [arrived], f"date_format({arrived}, 'yyyy')")
+    messages = delivered(spark, sf_dir, name)
+    last = messages.agg(F.date_trunc("month", F.max(arrived)).alias("m")).first()["m"]
     if last is None:
         store.ingest(messages)
-        return store
-    store.ingest(messages.where((F.col("arrived") < F.lit(last)) | F.col("arrived").isNull()))
-    store.ingest(messages.where(F.col("arrived") >= F.lit(last)))
-    return store
+    else:
+        store.ingest(messages.where((F.col(arrived) < F.lit(last)) | F.col(arrived).isNull()))
+        store.ingest(messages.where(F.col(arrived) >= F.lit(last)))
+    rows = store.read()
+    return messages.withColumn(COPIES, F.lit(0).cast("bigint")) if rows is None else rows
+
+
+def message_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keys of all tables' messages with COPIES, from their stores."""
+    parts = [message_rows(spark, sf_dir, n).select(F.lit(n).alias("table_name"), *MESSAGE_KEYS, COPIES) for n in MESSAGES]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct messages that were delivered more than once."""
-    rows = message_store(spark, sf_dir).read()
-    rows = delivered(spark, sf_dir).withColumn(COPIES, F.lit(0)) if rows is None else rows
-    return rows.where(F.col(COPIES) > 1).select("table_name", "record_id", "event_kind", "version_us")
+    return message_copies(spark, sf_dir).where(F.col(COPIES) > 1).select("table_name", *MESSAGE_KEYS)
 
 
 def p7_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exactly one copy of each message, with the number of its deliveries."""
-    rows = message_store(spark, sf_dir).read()
-    rows = delivered(spark, sf_dir).withColumn(COPIES, F.lit(0)) if rows is None else rows
-    return rows.select("table_name", "record_id", "event_kind", "version_us", F.col(COPIES).alias("copies"))
+    """The key of each message, with the number of its deliveries; the messages whole are in p7_<table>."""
+    return message_copies(spark, sf_dir).select("table_name", *MESSAGE_KEYS, F.col(COPIES).alias("copies"))
+
+
+def _whole(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return message_rows(spark, sf_dir, name).select(*table(spark, sf_dir, name).columns, F.col(COPIES).alias("copies"))
+
+
+def p7_shopify_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exactly one copy of each message of shopify_customers with all its columns."""
+    return _whole(spark, sf_dir, "shopify_customers")
+
+
+def p7_mailchimp_subscribers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exactly one copy of each message of mailchimp_subscribers with all its columns."""
+    return _whole(spark, sf_dir, "mailchimp_subscribers")
+
+
+def p7_incremental_watermarks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exactly one copy of each message of incremental_watermarks with all its columns."""
+    return _whole(spark, sf_dir, "incremental_watermarks")
 
 
 def source_times(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,9 @@ QUERIES: dict[str, Query] = {
     "p6_found": core.p6_found,
     "p7_found": core.p7_found,
     "p7_messages": core.p7_messages,
+    "p7_shopify_customers": core.p7_shopify_customers,
+    "p7_mailchimp_subscribers": core.p7_mailchimp_subscribers,
+    "p7_incremental_watermarks": core.p7_incremental_watermarks,
     **tables.QUERIES,
 }
 
