@@ -36,3 +36,8 @@ def test_operator(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string, kind string")
     assert sorted((r.doc_id or 0, r.kind) for r in residue(df).collect()) == [(0, "placeholder"), (1, "page"), (1, "page")]
     assert residue(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text", [" ".join(["blah"] * 20), " ".join(["tbd"] * 20), NORMAL + "\n" + " ".join(["insert your text here"] * 5)])
+def test_long_filler_without_full_stops(text):
+    assert residue_kind(text) == "filler"

@@ -192,7 +192,7 @@ def has_filler(text: str, anchored: bool) -> bool:
             return True
         if all(w in MASH or re.fullmatch(r"(?:x{3,}|(\w)\1{3,})", w) for w in words) and len(words) >= 3:
             return True
-        if anchored and len(words) <= 14:
+        if anchored:
             line = _words(s)
             if any(kind == "filler" for _, (_, kind) in anchors.iter(line)) and covered(line, filler) >= FILLER_COVERAGE:
                 return True
