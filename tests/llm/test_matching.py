@@ -80,3 +80,9 @@ def test_busy_phone_and_mailbox_keep_their_people(spark):
     b = [(f"m{i}", "desk@shop.example" if i % 2 else None, f, n, "555-111-2222") for i, (f, n) in enumerate(names)]
     got = set(found(spark, a, b))
     assert {(str(i), f"m{i}") for i in range(len(names))} == got
+
+
+def test_chain_of_ids_carries_over(spark):
+    a = [("1", "q11111@x.example", "Eva", "Moor", None), ("2", "q11111@x.example", "Eva", "Moor", "5551112222"), ("3", None, "Eva", "Moor", "5551112222"), ("3", "r22222@x.example", "Eva", "Moor", None), ("4", "r22222@x.example", "Eva", "Moor", None)]
+    b = [("m", None, "Eva", "Moor", "5553334444"), ("n", "s33333@x.example", "Eva", "Moor", "5553334444"), ("o", "s33333@x.example", "Eva", "Moor", None), ("o", "q11111@x.example", "Eva", "Moor", None)]
+    assert found(spark, a, b) == [(i, j) for i in "1234" for j in "mno"]

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tributary.functions.values import key_text
+from tributary.llm.components import components
 from tributary.session import saved
 
 #: Letters with marks and what they are compared as.
@@ -301,11 +302,16 @@ def cascade(a: DataFrame, b: DataFrame, passes=PASSES, forms=FORMS, hot_pairs: i
 
 
 def carried(pairs: DataFrame, same_a: DataFrame, same_b: DataFrame) -> DataFrame:
-    """pairs and those that one person's several ids carry over: a matches b, and a' is the same person as a."""
-    more_a = pairs.join(same_a.select(F.col("a_id"), F.col("b_id").alias("other")), "a_id").select(F.col("other").alias("a_id"), "b_id", F.lit("carried").alias("rule"))
-    wider = pairs.unionByName(more_a)
-    more_b = wider.join(same_b.select(F.col("a_id").alias("b_id"), F.col("b_id").alias("other")), "b_id").select("a_id", F.col("other").alias("b_id"), F.lit("carried").alias("rule"))
-    ranked = wider.unionByName(more_b).withColumn("late", F.col("rule") == "carried")
+    """pairs and those that one person's several ids carry over: a matches b, and a' is tied to a within its source,
+    directly or over other ids."""
+    links = [s.select(*[F.concat(F.lit(side), c).alias(c) for c in ("a_id", "b_id")]) for side, s in (("a", same_a), ("b", same_b))]
+    groups = saved(components(links[0].unionByName(links[1]), "a_id", "b_id"), "match-groups")
+    of = {s: groups.where(F.startswith("v", F.lit(s))).select(F.expr("substring(v, 2)").alias(f"{s}_id"), F.col("root").alias(f"{s}_root")) for s in "ab"}
+    tied = pairs.join(of["a"], "a_id", "left").join(of["b"], "b_id", "left").where("a_root is not null or b_root is not null")
+    persons = tied.select(*[F.coalesce(f"{s}_root", F.concat(F.lit(s), f"{s}_id")).alias(f"{s}_root") for s in "ab"]).distinct()
+    all_ids = persons.join(of["a"], "a_root", "left").join(of["b"], "b_root", "left")
+    more = all_ids.select(*[F.coalesce(f"{s}_id", F.expr(f"substring({s}_root, 2)")).alias(f"{s}_id") for s in "ab"], F.lit("carried").alias("rule"))
+    ranked = pairs.unionByName(more).withColumn("late", F.col("rule") == "carried")
     return ranked.groupBy("a_id", "b_id").agg(F.min_by("rule", F.struct("late", "rule")).alias("rule"))
 
 
