@@ -12,12 +12,13 @@ FILLERS = (
     "00000000-0000-0000-0000-000000000000",
 )
 
-BLANK = r"[\s ​﻿]+"
+#: Blanks of any kind: ASCII white space, the no-break space, the zero-width space and the byte order mark.
+BLANKS = " \t\n\x0b\x0c\r\u00a0\u200b\ufeff"
 
 
 def squeeze(c: Column) -> Column:
     """Without outer blanks (of any kind); null stays null."""
-    return F.regexp_replace(c, f"^{BLANK}|{BLANK}$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def key_text(c: Column) -> Column:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_spark(app: str = "tributary", cores: str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -29,8 +32,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir where it is set; only without one (tests, a laptop)
-    is a temporary folder made and set."""
+    """The folder all executors share: spark.checkpoint.dir where it is set; only without one, and only where driver
+    and executors are one machine (tests, a laptop), is a temporary folder made and set."""
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir")
     if configured:
@@ -38,7 +41,10 @@ def shared_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current.rstrip("/")
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="tributary-")
+    atexit.register(shutil.rmtree, local, ignore_errors=True)
     sc.setCheckpointDir(local)
     return f"file://{local}"
 
@@ -48,19 +54,21 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the rows are written to the shared folder and the lineage ends there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def saved(df: DataFrame, label: str) -> DataFrame:
-    """Write to the shared folder and read back: like cut(), but columnar and with statistics for the planner."""
+    """Write to the shared folder and read back: cuts the lineage like a reliable checkpoint, but columnar and with
+    statistics for the planner. The rows stay until drop_scratch(), or as long as the shared folder does."""
     path = scratch(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def saved_rows(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """saved(), and the number of its rows, counted on the way."""
+    seen = Observation()
+    out = saved(df.observe(seen, F.count(F.lit(1)).alias("n")), label)
+    return out, seen.get["n"]
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
