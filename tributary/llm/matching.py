@@ -1,9 +1,11 @@
 """Matching people of two sources that share no key: a cascade of deterministic rules.
 
-Each pass is an exact join on one attribute, weaker than the one before, and holds rules that ask for less and less
-agreement of the names; pairs resolved by an earlier pass are anti-joined away. A rule's confidence is its precision on pairs
-with labels, smoothed. What an exact pass finds within one source (a person with two ids) carries a match over to the
-other id.
+First the ids of one source that are one person are put together (exact contact, agreeing names, any chain of such
+ties), so that the cascade works on persons. Each pass is an exact join on one attribute, weaker than the one before,
+and holds rules that ask for less and less agreement of the names. Persons resolved by an earlier pass are anti-joined:
+they meet no other resolved person again, but stay open to one that nobody has met yet, for a person may have several
+ids on either side that nothing ties within its source, and no match is to be lost. A rule's confidence is its
+precision on pairs with labels, smoothed. Pairs of persons are expanded by membership at the end.
 """
 
 from __future__ import annotations
@@ -12,12 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tributary.functions.values import key_text
-from tributary.llm.components import components
-from tributary.session import saved
+from tributary.llm.components import HOT_LEAST, components
+from tributary.operators.skew import lookup_join
+from tributary.session import saved, saved_rows
 
 #: Letters with marks and what they are compared as.
 MARKED = "àáâãäåāăąçćčďèéêëēěęìíîïīłñńňòóôõöøōőřśšşťùúûüūůűýÿźżž"
-PLAIN = "aaaaaaaaacccdeeeeeeeiiiiilnnnoooooooorsss" + "tuuuuuuuyyzzz"
+PLAIN = "aaaaaaaaacccdeeeeeeeiiiiilnnnoooooooorssstuuuuuuuyyzzz"
 #: Short forms of first names and the names they stand for.
 SHORT_FORMS = {
     "abby": "abigail", "al": "albert alexander", "alec": "alexander", "alex": "alexander alexandra", "alf": "alfred", "andy": "andrew",
@@ -75,7 +78,7 @@ def profiles(rows: DataFrame) -> DataFrame:
     Columns: id, emails, phones, firsts, lasts (arrays, empty rather than null), full (first names with what short
     forms stand for), local (words of the e-mails' local parts)."""
     plain = rows.select(F.col("id").cast("string").alias("id"), plain_email(F.col("email")).alias("email"), plain_name(F.col("first")).alias("first"), plain_name(F.col("last")).alias("last"), phone_digits(F.col("phone")).alias("phone"))
-    sets = [F.collect_set(c).alias(f"{c}s") for c in ("email", "phone", "first", "last")]
+    sets = [F.sort_array(F.collect_set(c)).alias(f"{c}s") for c in ("email", "phone", "first", "last")]
     out = plain.where("id is not null").groupBy("id").agg(*sets)
     short = F.create_map(*[x for k, v in SHORT_FORMS.items() for x in (F.lit(k), F.array(*map(F.lit, v.split())))])
     full = F.array_distinct(F.flatten(F.transform("firsts", lambda x: F.concat(F.array(x), F.coalesce(F.try_element_at(short, x), F.array().cast("array<string>"))))))
@@ -154,8 +157,14 @@ PASSES: list[tuple[str, list[tuple[str, str]]]] = [
     ("phones", [("phone+first+last", "first_agrees and last_agrees"), ("phone+first", "first_agrees and last_unknown"), ("phone+mail name", f"first_unknown and mail_names and {_LAST}")]),
     (NUMBERS, [("number+names", f"first_agrees and {_LAST} and {SLIP}"), ("number", f"first_unknown and not mail_denies and {_LAST} and {SLIP}")]),
 ]
-#: Passes by which two ids of one source are the same person.
-WITHIN = [("emails", [("email", "first_exact and last_agrees")]), ("phones", [("phone", "first_exact and last_agrees")])]
+#: The same for addresses without a number: a local part, or one less a letter, and a last name.
+SLIPPED = (
+    "flatten(transform(filter(emails, e -> not rlike(e, r'^[^@]*\\d{3}') and locate('@', e) between 4 and 65), e -> flatten(transform(lasts, n -> "
+    "transform(sequence(0, locate('@', e) - 1), i -> concat(if(i = 0, substring_index(e, '@', 1), overlay(substring_index(e, '@', 1) placing '' from i for 1)), '|', n))))))"
+)
+PASSES.append((SLIPPED, [("slip+names", "first_exact and last_agrees and exists(a_emails, x -> exists(b_emails, y -> levenshtein(x, y) <= 1))")]))
+#: The pass by which two ids of one source are the same person; its key is the contact.
+WITHIN = [("array(key)", [("contact+first+last", "first_exact and last_agrees")])]
 #: A contact that would form more pairs than this is split by names, or by spellings of the e-mail.
 HOT_PAIRS = 625
 #: Longer local parts meet each other without forms of their own.
@@ -249,78 +258,120 @@ def _slip_forms(side: str) -> Forms:
 
 
 #: The forms by which hot keys are split, so chosen that any pair one of the rules holds for has one in common.
-FORMS = {"emails": _email_forms, "phones": _phone_forms, NUMBERS: _slip_forms}
-WITHIN_FORMS = {"emails": _last_forms, "phones": _last_forms}
+FORMS = {"emails": _email_forms, "phones": _phone_forms, NUMBERS: _slip_forms, SLIPPED: lambda side: [_near("f", F.col("full"))]}
+WITHIN_FORMS = {"array(key)": _last_forms}
 
+#: What the rules read of a profile.
+PARTS = ("emails", "firsts", "lasts", "full", "local")
 
-def _keys(p: DataFrame, keys: str, columns: tuple[str, ...] = ("id",)) -> DataFrame:
+
+def _keys(p: DataFrame, keys: str, *columns: str) -> DataFrame:
     return p.select(*columns, F.explode(F.array_distinct(F.expr(keys))).alias("key"))
 
 
-def _hot(a: DataFrame, b: DataFrame, keys: str, hot_pairs: int) -> DataFrame:
-    """Keys that form more pairs than hot_pairs; the counts are combined before the shuffle."""
-    both = _keys(a, keys, ()).withColumn("n", F.lit(1)).withColumn("m", F.lit(0)).unionByName(_keys(b, keys, ()).withColumn("n", F.lit(0)).withColumn("m", F.lit(1)))
-    counts = both.groupBy("key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
-    return saved(counts.where(F.col("n") * F.col("m") > hot_pairs).select("key", F.lit(True).alias("hot")), "match-hot")
+def _hot(a: DataFrame, b: DataFrame, passes: list, hot_pairs: int) -> tuple[DataFrame, int]:
+    """(pass, key) of keys that form more pairs than hot_pairs, and their number; counts are combined before the shuffle."""
+    sides = []
+    for p, n, m in ((a, 1, 0), (b, 0, 1)):
+        tagged = ", ".join(f"transform(array_distinct({keys}), k -> struct({i} as pass, k as key))" for i, (keys, _) in enumerate(passes))
+        sides.append(p.select(F.inline(F.expr(f"concat({tagged})"))).withColumns({"n": F.lit(n), "m": F.lit(m)}))
+    counts = sides[0].unionByName(sides[1]).groupBy("pass", "key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    return saved_rows(counts.where(F.col("n") * F.col("m") > hot_pairs).select("pass", "key"), "match-hot")
 
 
-def _split(p: DataFrame, keys: str, hot: DataFrame, forms: Forms, side: str) -> DataFrame:
-    """(<side>_id, key, form, <side>_spelt): one row a key, and for a hot one a row a form."""
-    rows = _keys(p, keys, ("id", "emails", "firsts", "lasts", "full", "local")).join(hot, "key", "left")
-    one = F.array(_form("", F.lit("")))
-    return rows.select(F.col("id").alias(f"{side}_id"), "key", F.explode(F.when(F.col("hot"), F.array_distinct(F.concat(*forms))).otherwise(one)).alias("x")).select(
-        f"{side}_id", "key", "x.form", F.col("x.spelt").alias(f"{side}_spelt")
-    )
+def _side(p: DataFrame, side: str) -> DataFrame:
+    return p.select("key", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "done", *PARTS)])
+
 
+def _split(p: DataFrame, forms: Forms, side: str) -> DataFrame:
+    """(key, form, <side>_id, <side>_done, <side>_spelt): a row a form of rows with hot keys."""
+    rows = p.select("key", "id", "done", F.explode(F.array_distinct(F.concat(*forms))).alias("x"))
+    return rows.select("key", "x.form", F.col("id").alias(f"{side}_id"), F.col("done").alias(f"{side}_done"), F.col("x.spelt").alias(f"{side}_spelt"))
 
-def candidates(a: DataFrame, b: DataFrame, keys: str, forms, hot_pairs: int = HOT_PAIRS) -> DataFrame:
-    """Distinct (a_id, b_id) that share a key; of a hot key those that share one of the forms too.
 
-    No key is left out: whatever a rule of the pass holds for is among the pairs, however many rows a key has."""
-    hot = _hot(a, b, keys, hot_pairs)
-    met = _split(a, keys, hot, forms("a"), "a").join(_split(b, keys, hot, forms("b"), "b"), ["key", "form"])
-    return met.where("a_spelt is null or b_spelt is null or a_spelt <> b_spelt").select("a_id", "b_id").distinct()
+def _resolved(pairs: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+    """(a_id, b_id, rule) of pairs with both sides' PARTS for which a rule holds."""
+    rule = F.coalesce(*[F.when(F.expr(condition), F.lit(name)) for name, condition in rules])
+    said = pairs.select("a_id", "b_id", "a_emails", "b_emails", *[e.alias(n) for n, e in name_columns().items()])
+    return said.select("a_id", "b_id", F.explode(F.filter(F.array(rule), lambda r: r.isNotNull())).alias("rule"))
 
 
-def cascade(a: DataFrame, b: DataFrame, passes=PASSES, forms=FORMS, hot_pairs: int = HOT_PAIRS) -> DataFrame:
+def cascade(a: DataFrame, b: DataFrame, passes=PASSES, forms=FORMS, hot_pairs: int = HOT_PAIRS, one_source: bool = False) -> DataFrame:
     """(a_id, b_id, rule): the pairs of two profiles() tables that some rule resolves, with the first that does.
 
-    Each pass: exact join on the pass's key, anti-join of pairs resolved before, check of the names. Pairs, and not
-    records, are taken out, as a person may have several ids on either side and no match is to be lost. Ids without
-    any attribute match nothing; empty tables give an empty result."""
-    wide = {s: p.select(*[F.col(c).alias(f"{s}_{c}") for c in p.columns]) for s, p in (("a", a), ("b", b))}
-    done: DataFrame | None = None
-    for keys, rules in passes:
-        pairs = candidates(a, b, keys, forms[keys], hot_pairs)
-        if done is not None:
-            pairs = pairs.join(done, ["a_id", "b_id"], "left_anti")
-        both = pairs.join(wide["a"], "a_id").join(wide["b"], "b_id").select("a_id", "b_id", "a_emails", "b_emails", *[e.alias(n) for n, e in name_columns().items()])
-        rule = F.coalesce(*[F.when(F.expr(condition), F.lit(name)) for name, condition in rules])
-        new = saved(both.select("a_id", "b_id", F.explode(F.filter(F.array(rule), lambda r: r.isNotNull())).alias("rule")), "match-pass")
-        done = new if done is None else done.unionByName(new)
-    return done
-
-
-def carried(pairs: DataFrame, same_a: DataFrame, same_b: DataFrame) -> DataFrame:
-    """pairs and those that one person's several ids carry over: a matches b, and a' is tied to a within its source,
-    directly or over other ids."""
-    links = [s.select(*[F.concat(F.lit(side), c).alias(c) for c in ("a_id", "b_id")]) for side, s in (("a", same_a), ("b", same_b))]
-    groups = saved(components(links[0].unionByName(links[1]), "a_id", "b_id"), "match-groups")
-    of = {s: groups.where(F.startswith("v", F.lit(s))).select(F.expr("substring(v, 2)").alias(f"{s}_id"), F.col("root").alias(f"{s}_root")) for s in "ab"}
-    tied = pairs.join(of["a"], "a_id", "left").join(of["b"], "b_id", "left").where("a_root is not null or b_root is not null")
-    persons = tied.select(*[F.coalesce(f"{s}_root", F.concat(F.lit(s), f"{s}_id")).alias(f"{s}_root") for s in "ab"]).distinct()
-    all_ids = persons.join(of["a"], "a_root", "left").join(of["b"], "b_root", "left")
-    more = all_ids.select(*[F.coalesce(f"{s}_id", F.expr(f"substring({s}_root, 2)")).alias(f"{s}_id") for s in "ab"], F.lit("carried").alias("rule"))
-    ranked = pairs.unionByName(more).withColumn("late", F.col("rule") == "carried")
-    return ranked.groupBy("a_id", "b_id").agg(F.min_by("rule", F.struct("late", "rule")).alias("rule"))
+    Each pass: exact join on the pass's key of what is unresolved on at least one side, and check of the names. No
+    key is left out however many rows have it: one that forms more than hot_pairs pairs is joined on forms too.
+    one_source: both tables are one, and only pairs with a_id < b_id are asked for. Ids without any attribute match
+    nothing; empty tables give an empty result."""
+    hot, n_hot = _hot(a, b, passes, hot_pairs)
+    met_anew = (F.col("a_id") < F.col("b_id")) if one_source else ~(F.col("a_done") & F.col("b_done"))
+    found: list[DataFrame] = []
+    done: dict[str, DataFrame | None] = {"a": None, "b": None}
+    for i, (keys, rules) in enumerate(passes):
+        rows = {}
+        for s, p in (("a", a), ("b", b)):
+            p = p.withColumn("done", F.lit(False)) if done[s] is None else p.join(done[s], "id", "left").fillna(False, ["done"])
+            rows[s] = p.select("id", "done", *PARTS, F.explode(F.array_distinct(F.expr(keys))).alias("key"))
+        cold, of_pass = rows, hot.where(F.col("pass") == i).select("key")
+        if n_hot:
+            cold = {s: r.join(of_pass, "key", "left_anti") for s, r in rows.items()}
+        new = _resolved(_side(cold["a"], "a").join(_side(cold["b"], "b"), "key").where(met_anew), rules)
+        if n_hot:
+            warm = {s: _split(r.join(of_pass, "key", "left_semi"), forms[keys](s), s) for s, r in rows.items()}
+            met = warm["a"].join(warm["b"], ["key", "form"]).where(met_anew & F.expr("a_spelt is null or b_spelt is null or a_spelt <> b_spelt"))
+            pairs = met.select("a_id", "b_id").distinct()
+            for s, p in (("a", a), ("b", b)):
+                pairs = pairs.join(p.select(*[F.col(c).alias(f"{s}_{c}") for c in ("id", *PARTS)]), f"{s}_id")
+            new = new.unionByName(_resolved(pairs, rules))
+        new = saved(new.distinct(), "match-pass")
+        found.append(new)
+        if len(found) < len(passes):
+            for s in "ab":
+                ids = new.select(F.col(f"{s}_id").alias("id"), F.lit(True).alias("done"))
+                done[s] = (ids if done[s] is None else ids.unionByName(done[s])).distinct()
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out.groupBy("a_id", "b_id").agg(F.min_by("rule", F.array_position(F.array(*[F.lit(n) for _, rules in passes for n, _ in rules]), F.col("rule"))).alias("rule")) if len(found) > 1 else out
+
+
+def persons(profiles: DataFrame, hot_pairs: int = HOT_PAIRS) -> tuple[DataFrame, DataFrame]:
+    """(person, id) for every id of a table of profiles() whose ids begin with their source's letter, and the profiles
+    of the persons (id being the person).
+
+    Ids of one source are one person if they share a contact and their names agree, over any chain of such ties. Equal
+    names at one contact are a class that takes part once, so copies of a person form no pairs among themselves."""
+    contacts = "concat(transform(emails, e -> concat(left(id, 1), 'e', e)), transform(phones, e -> concat(left(id, 1), 'p', e)))"
+    named = profiles.where((F.size("full") > 0) & (F.size("lasts") > 0))
+    keyed = _keys(named, contacts, "id", "firsts", "full", "lasts").withColumn("class", F.md5(F.to_json(F.struct("key", "full", "lasts"))))
+    keyed = saved(keyed, "match-contacts")
+    classes = keyed.groupBy("class", "key", "firsts", "full", "lasts").agg(F.count(F.lit(1)).alias("n"))
+    classes = saved(classes, "match-classes")
+    several = classes.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key")
+    none = F.array().cast("array<string>")
+    meeting = classes.join(several, "key", "left_semi").select(F.col("class").alias("id"), "key", none.alias("emails"), "firsts", "lasts", "full", none.alias("local"))
+    ties = cascade(*[saved(meeting, "match-meeting")] * 2, WITHIN, WITHIN_FORMS, hot_pairs, one_source=True)
+    tied = ties.select(F.explode(F.array("a_id", "b_id")).alias("class"))
+    live = classes.where("n > 1").select("class").unionByName(tied).distinct()
+    stars = lookup_join(keyed.select("class", "id"), live, "class", "inner", least=HOT_LEAST)
+    links = stars.select(F.col("class").alias("a"), F.concat(F.lit("#"), "id").alias("b")).unionByName(ties.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
+    groups = components(links).where("v like '#%'").select(F.expr("substring(v, 2)").alias("id"), F.concat(F.substring("v", 2, 1), F.lit("*"), F.col("root").cast("string")).alias("person"))
+    members = saved(profiles.join(groups, "id", "left"), "match-members")
+    union = lambda c: F.array_distinct(F.flatten(F.collect_set(c))).alias(c)
+    grouped = members.where("person is not null").groupBy(F.col("person").alias("id")).agg(*[union(c) for c in ("emails", "phones", "firsts", "lasts", "full", "local")])
+    whole = members.where("person is null").select(*grouped.columns).unionByName(grouped)
+    return members.select(F.coalesce("person", "id").alias("person"), "id"), saved(whole, "match-persons")
 
 
 def match(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(a_id, b_id, rule) of the same people in two tables of profiles()."""
-    a, b = saved(a, "profiles"), saved(b, "profiles")
-    pairs = cascade(a, b)
-    same = [cascade(p, p, WITHIN, WITHIN_FORMS).where("a_id <> b_id").select("a_id", "b_id") for p in (a, b)]
-    return carried(pairs, *same)
+    """(a_id, b_id, rule) of the same people in two tables of profiles(), each pair with its persons' rule."""
+    tagged = [p.withColumn("id", F.concat(F.lit(s), "id")) for s, p in (("a", a), ("b", b))]
+    members, whole = persons(saved(tagged[0].unionByName(tagged[1]), "profiles"))
+    pairs = cascade(*[whole.where(F.startswith("id", F.lit(s))) for s in "ab"])
+    for s in "ab":
+        own = members.where(F.startswith("id", F.lit(s))).select(F.col("person").alias(f"{s}_id"), F.expr("substring(id, 2)").alias(f"_{s}"))
+        pairs = pairs.join(own, f"{s}_id")
+    return pairs.select(F.col("_a").alias("a_id"), F.col("_b").alias("b_id"), "rule")
 
 
 def with_confidence(pairs: DataFrame, labels: DataFrame, prior: float = 0.9, weight: float = 4.0) -> DataFrame:
@@ -331,7 +382,7 @@ def with_confidence(pairs: DataFrame, labels: DataFrame, prior: float = 0.9, wei
     known = labels.where("entity is not null").distinct()
     on = lambda s: known.where(F.col("side") == s).select(F.col("id").alias(f"{s}_id"), "entity")
     has = lambda s: on(s).select(f"{s}_id").distinct()
-    right = on("a").join(on("b"), "entity").select("a_id", "b_id").distinct().withColumn("right", F.lit(1))
+    right = pairs.select("a_id", "b_id").join(on("a"), "a_id").join(on("b"), ["b_id", "entity"]).select("a_id", "b_id").distinct().withColumn("right", F.lit(1))
     labelled = pairs.join(has("a"), "a_id", "left_semi").join(has("b"), "b_id", "left_semi").join(right, ["a_id", "b_id"], "left")
     precision = labelled.groupBy("rule").agg(((F.sum(F.coalesce("right", F.lit(0))) + prior * weight) / (F.count(F.lit(1)) + weight)).alias("confidence"))
     return pairs.join(F.broadcast(precision), "rule", "left").withColumn("confidence", F.coalesce("confidence", F.lit(prior)))
