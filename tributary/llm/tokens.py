@@ -11,22 +11,26 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.operators.skew import lookup_join
-
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k"
 #: Fixed value: the splitting pattern of the byte-level vocabularies.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters the rolling hash sees, share of the places at which it cuts (one in 2 ** CUT_BITS words), longest chunk.
 WINDOW, CUT_BITS, LONGEST = 16, 6, 8192
+#: Times that a task meets a chunk before its places are spread, over how many groups, and chunks a task keeps in mind.
+HOT_CHUNK, SALTS, TASK_KEYS = 64, 256, 500_000
+PIECES = pa.schema([("tkey", pa.int64()), ("seq", pa.int32()), ("safe", pa.bool_()), ("forced", pa.bool_()), ("key", pa.binary()), ("salt", pa.int32()), ("text", pa.string())])
 
 
 @lru_cache(maxsize=4)
@@ -152,28 +156,85 @@ def _key(text: str) -> bytes:
     return hashlib.blake2b(text.encode(), digest_size=16).digest()
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], bits: int, longest: int, texts: bool) -> Iterator[pa.RecordBatch]:
+def _text_key(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little", signed=True)
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], bits: int, longest: int) -> Iterator[pa.RecordBatch]:
+    """Every chunk of every text in its place, with the chunk's text where this task meets it for the first time.
+
+    A chunk that a task has met HOT_CHUNK times is salted by the task, so that its places are spread over SALTS groups;
+    each of them encodes it once more, for HOT_CHUNK places or more."""
+    task = TaskContext.get().partitionId()
+    met: dict[bytes, int] = {}
     for b in batches:
-        rows = b.column("text").to_pylist()
-        cut = chunk_batch(rows, bits, longest)
-        if texts:
-            once = {_key(c): c for own in cut for c, _ in own}
-            yield pa.RecordBatch.from_arrays([pa.array(list(once), pa.binary()), pa.array(list(once.values()), pa.string())], names=["key", "text"])
-            continue
-        ids, at = b.column("doc"), []
-        cols: dict[str, list] = {"tkey": [], "seq": [], "safe": [], "key": []}
-        for i, t in enumerate(rows):
-            own = _key(t)
-            for s, (c, safe) in enumerate(cut[i]):
+        rows = ["" if t is None else t for t in b.column("text").to_pylist()]
+        at: list[int] = []
+        cols: dict[str, list] = {"tkey": [], "seq": [], "safe": [], "forced": [], "key": [], "salt": [], "text": []}
+        for i, own in enumerate(chunk_batch(rows, bits, longest)):
+            own = own or [("", True)]
+            tkey, forced = _text_key(rows[i]), not all(safe for _, safe in own)
+            for s, (c, safe) in enumerate(own):
+                key = _key(c)
+                n = met[key] = met.get(key, 0) + 1
                 at.append(i)
-                cols["tkey"].append(own)
+                cols["tkey"].append(tkey)
                 cols["seq"].append(s)
                 cols["safe"].append(safe)
-                cols["key"].append(_key(c))
-        yield pa.RecordBatch.from_arrays(
-            [ids.take(pa.array(at, pa.int64())), pa.array(cols["tkey"], pa.binary()), pa.array(cols["seq"], pa.int32()), pa.array(cols["safe"], pa.bool_()), pa.array(cols["key"], pa.binary())],
-            names=["doc", "tkey", "seq", "safe", "key"],
-        )
+                cols["forced"].append(forced)
+                cols["key"].append(key)
+                cols["salt"].append(0 if n <= HOT_CHUNK else 1 + task % SALTS)
+                cols["text"].append(c if n in (1, HOT_CHUNK + 1) else None)
+        if len(met) > TASK_KEYS:
+            met = {}
+        yield pa.RecordBatch.from_arrays([b.column("doc").take(pa.array(at, pa.int64())), *[pa.array(v, PIECES.field(c).type) for c, v in cols.items()]], names=["doc", *cols])
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], enc, counts: bool) -> Iterator[pa.RecordBatch]:
+    """Ids of every place, from rows sorted by key and salt with a row that has the text first. With counts, ids come
+    only for texts that need a repair."""
+    last, last_ids = None, np.zeros(0, np.int32)
+    for b in batches:
+        made, which = [last_ids], []
+        for key, salt, text in zip(b.column("key").to_pylist(), b.column("salt").to_pylist(), b.column("text").to_pylist(), strict=True):
+            if (key, salt) != last:
+                last = (key, salt)
+                made.append(np.asarray(enc.encode_to_numpy(text, disallowed_special=()), np.int32) if text else np.zeros(0, np.int32))
+            which.append(len(made) - 1)
+        last_ids = made[-1]
+        at = pa.array(which, pa.int64())
+        lengths = np.fromiter(map(len, made), np.int32, len(made))
+        ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(np.concatenate(made), pa.int32()))
+        if counts:
+            forced = b.column("forced")
+            ids = pc.if_else(forced, ids.take(at), pa.scalar(None, ids.type))
+        else:
+            ids = ids.take(at)
+        yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("doc", "tkey", "seq", "safe")], pa.array(lengths[which], pa.int32()), ids], names=["doc", "tkey", "seq", "safe", "n", "ids"])
+
+
+def _whole(batches: Iterator[pa.RecordBatch], enc, counts: bool) -> Iterator[pa.RecordBatch]:
+    """Ids (or their number) of each document from its parts in order; lists are joined by their offsets."""
+    for b in batches:
+        parts = b.column("parts")
+        borders, rows = parts.offsets.to_numpy(), parts.values
+        safe = rows.field("safe").to_numpy(zero_copy_only=False)
+        forced = np.flatnonzero(np.logical_or.reduceat(~safe, borders[:-1])) if len(safe) else np.zeros(0, np.int64)
+        repaired = {int(i): joined([(p["ids"], p["safe"]) for p in parts[int(i)].as_py()], enc) for i in forced}
+        if counts:
+            total = np.add.reduceat(rows.field("n").to_numpy().astype(np.int64), borders[:-1]) if len(safe) else np.zeros(0, np.int64)
+            for i, own in repaired.items():
+                total[i] = len(own)
+            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(total, pa.int64())], names=["doc", "n_tokens"])
+            continue
+        ids = rows.field("ids")
+        out = pa.ListArray.from_arrays(pa.array(ids.offsets.to_numpy()[borders], pa.int32()), ids.values)
+        if repaired:
+            lists = pa.array(list(repaired.values()), out.type)
+            at = np.arange(len(out))
+            at[forced] = len(out) + np.arange(len(forced))
+            out = pa.concat_arrays([out, lists]).take(pa.array(at))
+        yield pa.RecordBatch.from_arrays([b.column("doc"), out], names=["doc", "ids"])
 
 
 def encode_corpus(
@@ -184,36 +245,39 @@ def encode_corpus(
     folder: str = TOKENIZERS,
     bits: int = CUT_BITS,
     longest: int = LONGEST,
+    counts: bool = False,
 ) -> DataFrame:
-    """(doc, ids): the token ids of every document without special tokens (what looks like one is plain text).
+    """(doc, ids): the token ids of every document without special tokens (what looks like one is plain text); with
+    counts (doc, n_tokens), for which ids are moved only where a repair needs them.
 
     An empty and a null text both give an empty list, a blank one its blanks' tokens. A row repeated whole gives one
     row; one id with two texts gives a row each; a null id is an id like others. Other columns are not read; an empty
-    table gives an empty one. Texts of any length are encoded whole. A chunk that a third of all documents share is
-    encoded once and reaches them through a broadcast of hot chunks."""
+    table gives an empty one. Texts of any length are encoded whole. The corpus is cut once; places meet their chunk's
+    text by one shuffle and their document by another. The places of a chunk that a third of all documents share are
+    spread over SALTS groups."""
     kind = docs.schema[doc].dataType.simpleString()
     rows = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"))
-    full = rows.where("text <> ''")
-    once = full.select("text").mapInArrow(lambda bs: _pieces(bs, bits, longest, True), "key binary, text string").groupBy("key").agg(F.first("text").alias("text"))
+    placed = rows.mapInArrow(lambda bs: _pieces(bs, bits, longest), f"doc {kind}, tkey bigint, seq int, safe boolean, forced boolean, key binary, salt int, text string")
+    met = placed.repartition("key", "salt").sortWithinPartitions("key", "salt", F.col("text").isNull())
+    encoded = met.mapInArrow(lambda bs: _encoded(bs, encoder(vocabulary, folder), counts), f"doc {kind}, tkey bigint, seq int, safe boolean, n int, ids array<int>")
+    parts = F.sort_array(F.collect_set(F.struct("seq", "safe", "n", "ids") if counts else F.struct("seq", "safe", "ids"))).alias("parts")
+    whole = encoded.groupBy("doc", "tkey").agg(parts).select("doc", "parts")
+    out = "n_tokens bigint" if counts else "ids array<int>"
+    whole = whole.mapInArrow(lambda bs: _whole(bs, encoder(vocabulary, folder), counts), f"doc {kind}, {out}")
+    return whole.withColumnRenamed("doc", doc)
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary, folder)
-        for b in batches:
-            ids = [enc.encode_ordinary(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(ids, pa.list_(pa.int32()))], names=["key", "ids"])
 
-    encoded = once.mapInArrow(encode, "key binary, ids array<int>")
-    placed = full.mapInArrow(lambda bs: _pieces(bs, bits, longest, False), f"doc {kind}, tkey binary, seq int, safe boolean, key binary")
-    parts = lookup_join(placed, encoded, "key", "inner")
-    whole = parts.groupBy("doc", "tkey").agg(F.sort_array(F.collect_set(F.struct("seq", "safe", "ids"))).alias("parts"), F.bool_and("safe").alias("all_safe"))
+def chunk_reuse(docs: DataFrame, text: str = "text", bits: int = CUT_BITS, longest: int = LONGEST) -> DataFrame:
+    """One row: chunks and their bytes in all, and in distinct ones, which are what the tokenizer has to read."""
+    placed = docs.select(F.lit(0).alias("doc"), F.col(text).alias("text")).mapInArrow(_sizes(bits, longest), "key binary, size bigint, n bigint")
+    distinct = placed.groupBy("key").agg(F.max("size").alias("size"), F.sum("n").alias("n"))
+    return distinct.agg(F.sum("n").alias("chunks"), F.sum(F.col("n") * F.col("size")).alias("bytes"), F.count(F.lit(1)).alias("distinct_chunks"), F.sum("size").alias("distinct_bytes"))
+
 
-    def repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary, folder)
+def _sizes(bits: int, longest: int):
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = [joined([(p["ids"], p["safe"]) for p in parts], enc) for parts in b.column("parts").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(ids, pa.list_(pa.int32()))], names=["doc", "ids"])
+            n = Counter(c for own in chunk_batch([t or "" for t in b.column("text").to_pylist()], bits, longest) for c, _ in own)
+            yield pa.RecordBatch.from_arrays([pa.array(map(_key, n), pa.binary()), pa.array([len(c.encode()) for c in n], pa.int64()), pa.array(list(n.values()), pa.int64())], names=["key", "size", "n"])
 
-    easy = whole.where("all_safe").select("doc", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"))
-    forced = whole.where("not all_safe").select("doc", "parts").mapInArrow(repair, f"doc {kind}, ids array<int>")
-    nothing = rows.where("text is null or text = ''").select("doc", F.array().cast("array<int>").alias("ids")).distinct()
-    return easy.unionByName(forced).unionByName(nothing).select(F.col("doc").alias(doc), "ids")
+    return sizes
