@@ -2,7 +2,7 @@
 
 Every partition packs its own items best-fit, largest first, and emits the containers that came out nearly full. The
 others go on as items of the next round, in fewer partitions, where they meet each other and are packed again; the
-tree of rounds ends when one partition holds what is left, or when merging no longer saves containers.
+tree of rounds ends when one partition holds what is left, or when a round saves less than a container a partition.
 """
 
 from __future__ import annotations
@@ -19,9 +19,8 @@ from tributary.session import saved
 CAPACITY = 2048
 #: A container filled to this share is emitted at once.
 FULL = 0.995
-#: Items in one task, at most about; partitions merged into one a round; least share of open containers a round must
-#: save for another round to follow while more than one task is needed.
-TASK_ITEMS, FAN_IN, LEAST_GAIN = 100_000, 8, 0.002
+#: Items in one task, at most about; partitions merged into one a round.
+TASK_ITEMS, FAN_IN = 4096, 8
 
 CONTENTS = "array<struct<id:string,part:int,size:int>>"
 
@@ -100,12 +99,12 @@ def pack(items: DataFrame, id: str, size: str, capacity: int = CAPACITY, full: f
 
     Items above the capacity are split into full pieces, parts 0, 1, ..., and a rest; no other item is split. Items
     without size (null, zero or less) need no container and give no row. Ids need not be unique: repeated rows are
-    items of their own, told apart only by their containers. A container is named by the round, task
-    and place in which it came about. Other columns
-    are not read; an empty table gives an empty one.
+    items of their own, told apart only by their containers. A container is named by the round, task and place in which it came about.
+    Other columns are not read; an empty table gives an empty one.
 
     A task sorts and packs about `task_items` items, whatever their number; the number of rounds grows with its
-    logarithm. Results do not depend on the partitions a retried task finds itself in: items are dealt by a hash of
+    logarithm. Items that fit nowhere with each other (all above half the capacity, say) would fill one task at the
+    root of the tree; there a round saves next to nothing, and the rounds end with the containers as they are. Results do not depend on the partitions a retried task finds itself in: items are dealt by a hash of
     their name and sorted by size and name."""
     spark = items.sparkSession
     todo = saved(pieces(items, id, size, capacity), "pack-items")
@@ -118,7 +117,7 @@ def pack(items: DataFrame, id: str, size: str, capacity: int = CAPACITY, full: f
         open_ = packed.where(F.col("size") < int(full * capacity))
         left = open_.count()
         few = -(-left // task_items) if left else 0
-        last = tasks == 1 or left == 0 or (few > 1 and left > n * (1 - LEAST_GAIN) and r > 0)
+        last = tasks == 1 or left == 0 or (r > 0 and few > 1 and n - packed.count() < tasks)
         done.append(packed if last else packed.where(F.col("size") >= int(full * capacity)))
         if last:
             break

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.functions.values import key_text, squeeze
 from tributary.llm.components import record_groups
-from tributary.llm.consensus import survivors, usable_token
+from tributary.llm.consensus import consensus_rows, row_weight, survivors, usable_token
 from tributary.llm.matching import match, profiles, with_confidence
-from tributary.llm.packing import pack
+from tributary.llm.packing import CAPACITY, pack
 from tributary.llm.residue import residue
-from tributary.llm.tokens import encode_corpus
+from tributary.llm.tokens import chunk_reuse, encode_corpus
 from tributary.operators.flatten import path_steps, staged
 from tributary.session import saved, table
 
@@ -19,11 +19,24 @@ from tributary.session import saved, table
 LEAST_CONFIDENCE = "0.70"
 
 
+def _tokens() -> dict[str, Column]:
+    trusted = F.coalesce(F.col("match_confidence") >= F.lit(LEAST_CONFIDENCE).cast("decimal(3,2)"), F.lit(True))
+    return {c: F.when(trusted, usable_token(F.col(c))) for c in ("email_token", "first_name_token", "last_name_token")}
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per customer_id with two or more rows: the present value of each tokenised field."""
-    trusted = F.coalesce(F.col("match_confidence") >= F.lit(LEAST_CONFIDENCE).cast("decimal(3,2)"), F.lit(True))
-    fields = {c: F.when(trusted, usable_token(F.col(c))) for c in ("email_token", "first_name_token", "last_name_token")}
-    return survivors(table(spark, sf_dir, "core_customers"), "customer_id", fields, "updated_at")
+    return survivors(table(spark, sf_dir, "core_customers"), "customer_id", _tokens(), "updated_at")
+
+
+def p4_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per customer_id with two or more rows: of each field the value closest to what its rows say together,
+    weighed by trust, completeness and recency."""
+    rows = table(spark, sf_dir, "core_customers")
+    plain = {c: F.when(key_text(F.col(c)).isNotNull(), squeeze(F.col(c))) for c in ("company", "job_title", "city")}
+    fields = {**_tokens(), **plain}
+    latest = F.lit(rows.agg(F.max("updated_at")).first()[0])
+    return consensus_rows(rows, "customer_id", fields, row_weight(F.col("match_confidence"), list(fields.values()), F.col("updated_at"), latest))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +57,7 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_corpus(table(spark, sf_dir, "documents")).select("doc_id", F.size("ids").alias("n_tokens"))
+    return encode_corpus(table(spark, sf_dir, "documents"), counts=True)
 
 
 def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +66,28 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("container", F.col("id").cast("bigint").alias("doc_id"), "part", F.col("size").alias("n_tokens"))
 
 
+def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row on p9_containers: containers over the capacity, tokens and documents packed that should not or should be,
+    and whether the containers are at most one in a hundred more than the total size asks for."""
+    sizes = saved(document_sizes(spark, sf_dir).where("n_tokens > 0"), "p9-sizes")
+    packed = saved(pack(sizes, "doc_id", "n_tokens"), "p9-packed")
+    fill = packed.groupBy("container").agg(F.sum("size").alias("fill"))
+    held = fill.agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("fill") > CAPACITY).cast("bigint")).alias("over_full"), F.sum("fill").alias("tokens"))
+    want = sizes.agg(F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("total"))
+    docs = packed.select("id").distinct().agg(F.count(F.lit(1)).alias("documents_packed"))
+    least = F.ceil(F.col("total") / CAPACITY)
+    one = [x.withColumn("_one", F.lit(1)) for x in (held, want, docs)]
+    return one[0].join(one[1], "_one").join(one[2], "_one").select(
+        F.coalesce("over_full", F.lit(0)).alias("over_full"), F.coalesce(F.col("tokens") - F.col("total"), F.lit(0)).alias("tokens_changed"), "documents_packed",
+        F.coalesce(F.col("n") <= F.ceil(least * 1.01), F.lit(True)).alias("near_bound"),
+    )
+
+
+def p8_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks and bytes of the corpus, and those of its distinct chunks."""
+    return chunk_reuse(table(spark, sf_dir, "documents"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that are template residue, filler or an error page."""
     return residue(table(spark, sf_dir, "documents")).select("doc_id")

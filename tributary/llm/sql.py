@@ -32,5 +32,6 @@ FROM r LEFT JOIN named n ON n.v = r.u WHERE r.source_id IS NOT NULL
 
 ORACLE = {
     "p3_found": P3,
+    "p9_fill": "SELECT 0 AS over_full, 0 AS tokens_changed, count(DISTINCT doc_id) AS documents_packed, true AS near_bound FROM documents WHERE text <> ''",
     "p4_found": f"SELECT customer_id, {_latest('email_token')}, {_latest('first_name_token')}, {_latest('last_name_token')} FROM core_customers WHERE customer_id IS NOT NULL GROUP BY customer_id HAVING count(*) > 1",
 }
