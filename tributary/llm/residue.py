@@ -1,11 +1,14 @@
 """Template residue, filler text and error or script-required pages.
 
-A multi-pattern automaton runs over each normalised text. Patterns are fragments of error messages, notices and
-filler in four languages; those that mark a kind for certain are anchors. A text with an anchor is residue when the
-matched fragments cover most of it (a page that stands in the place of content) or, for filler, most of one of its
-sentences. A text that only speaks about such things matches the same fragments but covers little of itself.
-Placeholders are found by their syntax and by the frames they fill, and are let go where the text quotes or explains
-them.
+One multi-pattern automaton reads each normalised text once. Its patterns are error messages and notices of pages,
+filler phrases and words in four languages, and what announces a placeholder: openers of template syntaxes and the
+words that stand for a value that was missing. Texts without a hit are done with there.
+
+Where something was hit, coverage decides. Of a page's letters, or those of one of its lines, that are no function
+words, names of hosts and files or identifiers, matched messages and the vocabulary of such pages must cover nearly
+all; of a filler sentence, filler phrases must. A text that only speaks about such things has the same hits but words
+of its own around them. A placeholder counts where the template put it: behind a greeting or a label, alone on its
+line, or in a syntax that prose has no other use for; it is let go where the sentence quotes or explains it.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 
 #: Share of the letters of a page, of a line that is such a message alone, and of a sentence of filler, that matched
 #: fragments must cover.
-PAGE_COVERAGE, LINE_COVERAGE, FILLER_COVERAGE = 0.75, 0.9, 0.85
+PAGE_COVERAGE, LINE_COVERAGE, FILLER_COVERAGE = 0.75, 0.85, 0.85
 
 
 def _all(*parts: str) -> list[str]:
@@ -46,7 +49,7 @@ PAGE_ANCHORS = [
     *_all("turn on|switch on|activate|allow|enable", "javascript|cookies|scripts|scripting"),
     *_all("requires|needs|cannot run without|works only with|does not work without", "javascript|cookies|scripts|a browser with scripting|cookies and scripts"),
     *_all("javascript is required|javascript is disabled|cookies are disabled|does not support scripting|database connection failed|too many clients already"),
-    *_all("traceback most recent call last|keyerror|valueerror|typeerror|illegalstateexception|nullpointerexception|template cache closed|upstream timed out"),
+    *_all("traceback (most recent call last)|keyerror|valueerror|typeerror|illegalstateexception|nullpointerexception|template cache closed|upstream timed out"),
     *_all("host unreachable|no healthy backend|quota exceeded|certificate expired|can't find what you're looking for"),
     # German
     *_all("aktivieren sie", "javascript|cookies|skripte"),
@@ -61,20 +64,23 @@ PAGE_ANCHORS = [
     *_all("necesita|requiere|solo funciona con|funciona solo con", "javascript|cookies|scripts"),
     *_all("no se encontró|no está disponible|no responde|acceso denegado|en mantenimiento|error interno"),
 ]
-#: What else such pages consist of.
-PAGE_PARTS = [
-    *"sorry|apologies|whoops|oops|we|this page|that address|the item|the server|the shop|our shop|this shop|this service|this site|the document|your basket".split("|"),
-    *"the message|the catalogue|the preview|checkout|the page|the request|right now|please|please try again later|try again|later|code|error|http error|http".split("|"),
-    *"status|reason|detail|message|id|reference|request id|ref|ray|go back to the home page|go back|home page|menu search cart|menu|search|cart|loading".split("|"),
-    *"please wait while|hold on while|one moment while|our gateway|in your browser|in your browser settings|and reload|before you go on|to see the offer|to continue".split("|"),
-    *"using this shop|you need to|to run this app|shop.example|before opening|this takes|seconds|back at|after|attempts|ms|s|switched on|turn it on and reload".split("|"),
-    *"a browser with scripting|your browser|so|be shown|cookies|scripts|javascript|to be enabled|please sign in again|sign in|again to continue|slow down and retry in".split("|"),
-    *"from your network|on our side|to view this resource|service|unavailable|at shop|shop example|at|java|java lang|py|file|render.py|line|in build|block".split("|"),
-    *"the link|has|your|this page works only with|the page you requested|open|load|find|render|item|page|server|shop|the|it|is|on|in|to|a".split("|"),
-    *"seite|diese seite|der shop|die seite|artikel|dienst|fehler|störung|die angeforderte adresse|bitte|um diese seite anzuzeigen|derzeit|versuchen sie es später noch einmal|die|der".split("|"),
-    *"la page|cette page|la boutique|le service|erreur|la page demandée|veuillez|pour afficher cette page|demandée|la|le|les cookies".split("|"),
-    *"la página|esta página|la tienda|el servicio|en su navegador|para ver esta página|la página solicitada|solicitada|el".split("|"),
-]
+#: Function words, which count neither for nor against.
+FUNCTION_WORDS = frozenset(
+    "a an and are as at be been before but by do for from has have in is it its of on or our so that the their then there this to until was we were while with you your "
+    "auf aus bitte das dem den der des die diese diesen dieser dieses ein eine einen einer er es für hat ihr ihre ihren im in ist mit nicht noch oder sie sind um und uns unsere von war wird zu zum zur "
+    "au aux avec ce ces cette dans de des du elle en est et il l' la le les leur n' ne notre nous ou par pas pour que qui s' se son sur un une vos votre vous "
+    "al con de del el ella en es esta este estos la las lo los más no nuestra nuestro o para por que se su sus un una y".split()
+)
+#: The vocabulary of error pages and notices beside their messages.
+PAGE_WORDS = frozenset(
+    "sorry apologies whoops oops please page site server service shop store website address item link document basket cart checkout catalogue preview request requested message menu search home login "
+    "error errors code status reason detail details id reference ref ray http https try trying again later go back loading wait hold moment gateway browser browsers settings reload refresh continue "
+    "using use app run view see offer open opening opened load find render need needs turn turned switch switched enable enabled allow allowed javascript cookies cookie scripts script scripting sign "
+    "slow down retry network side resource unavailable seconds second minutes attempts attempt takes ms file line shown works only show display complete reach followed visited right now one later. "
+    "seite seiten server dienst fehler störung artikel angeforderte adresse anzuzeigen anzeigen derzeit versuchen später einmal shop skripte browser verbindung warenkorb fehlercode "
+    "page boutique service erreur demandée demandé veuillez afficher réessayer plus tard serveur navigateur panier code "
+    "página páginas tienda servicio error navegador ver solicitada solicitado inténtelo intente nuevo tarde servidor favor código".split()
+)
 #: Anchors and parts of filler text.
 FILLER_ANCHORS = [
     *_all("headline|body|caption|teaser|title|intro|subtitle", "copy|text", "goes here|tbd|pending|missing|follows|to come|to follow"),
@@ -85,14 +91,11 @@ FILLER_ANCHORS = [
     *_all("your text here|your title here|your headline here|edit this paragraph to tell your story|placeholder copy|do not publish|sample text|replace before sending|dummy text"),
     *_all("todo write copy for this block|write copy for this block|tbd tbd tbd|tbd tbd|blah blah blah|blah blah|test test test|lorem ipsum"),
     *_all("blindtext|fülltext|platzhaltertext|beispieltext"),
-    *_all("fließtext|titel|teaser|überschrift|text|bildunterschrift", "hier|bitte", "einfügen|eintragen|ergänzen"),
+    *_all("fließtext|fliesstext|titel|teaser|überschrift|text|bildunterschrift", "hier|bitte", "einfügen|eintragen|ergänzen"),
     *_all("texte de remplissage|texte d'exemple|texto de ejemplo|texto de relleno|faux texte"),
     *_all("texte|texto|titre|título|titulo|titular|légende", "ici|aquí|à venir|pendiente|por definir"),
 ]
-FILLER_PARTS = [
-    *"hier steht ein|für den newsletter|à modifier|sustituir|before sending|here|in this box|todo|tbd|blah|test|product|description|copy|text|write".split("|"),
-    *"replace|placeholder|sample|your|the|a|some|short|bitte|hier|ici|aquí".split("|"),
-]
+FILLER_WORDS = frozenset("before sending here todo tbd blah test box product description copy text write replace placeholder sample short newsletter steht modifier sustituir insert add put type enter".split())
 #: The words of the usual mock Latin, and of hands run over a keyboard.
 LATIN = frozenset(
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim "
@@ -100,70 +103,114 @@ LATIN = frozenset(
     "esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split()
 )
 MASH = frozenset("asdf qwer hjkl sdfg dfgh fghj ghjk jkl uiop lkjh zxcv xcvb qwerty qwertz asdfgh qqqq xxxx zzzz aaaa test".split())
-#: Words next to a placeholder by which a text explains it.
-CUES = ("syntax", "greeting", "so that the campaign", "exactly so", "as it stands", "columns", "needs", "select ", "where ", "nightly check", "placeholder", "merge tag", "variable", "means that", "count as")
+#: What opens a placeholder in a template syntax, and words that stand for a missing value.
+OPENERS = ("{", "[", "<", "%", "*|", "${", "#{", "@@", "##", "__", "«")
+VOIDS = ("null", "undefined", "none", "nan", "nil", "invalid date", "%s", "%d", "[object object]")
+#: Greetings, labels and fixed phrases behind which a template puts a value.
+FRAMES = (
+    "dear", "hello", "hi", "hey", "hallo", "guten tag", "liebe/r", "lieber", "liebe", "bonjour", "cher", "chère", "estimado", "estimada", "hola", "thanks,", "thank you,",
+    "total due:", "amount due:", "your total is", "your order", "betrag:", "montant:", "importe:", "ihre bestellung", "votre commande", "su pedido", "tu pedido", "items:", "delivered on", "for order",
+)
+#: Words of a sentence that speaks about placeholders, verbs that have one as their object, and of code.
+META_WORDS = frozenset("syntax placeholder placeholders variable variables tag tags token tokens field fields column columns template templates platzhalter variablen feld felder syntaxe champ champs balise variables marcador marcadores etiqueta campo campos sintaxis means heißt bedeutet signifie significa".split())
+META_VERBS = frozenset("put write use type insert enter keep leave add replace copy setze setzen schreibe schreiben verwende verwenden mettez écrivez utilisez ponga pon escriba escribe use usa".split())
+CODE_WORDS = re.compile(r"\b(?:SELECT|FROM|WHERE|INSERT|UPDATE|JOIN|SET|echo|export|printf?)\b|[=<>]=?\s*$")
 
-WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _ZERO_WIDTH = re.compile("[\u200b\u200c\u200d\u2060\ufeff\u00ad]")
+_TAG = re.compile(r"</?(?:div|p|html|head|title|body|center|h\d|noscript|span|br|b|i|hr|a|td|tr|table|ul|ol|li|strong|em|section|main|header|footer)\b[^<>]*>", re.I)
+#: Names of hosts and files, identifiers and places in a stack: no words of a text.
+_NAMES = re.compile(r'file "[^"\n]*", line \d+, in \S+|[\w-]+(?:[./:\\][\w-]+)+|\w*[\d_]\w*')
+WORD = re.compile(r"[^\W\d_]+(?:['-][^\W\d_]+)*")
+_SENTENCE_END = re.compile(r"\n|(?<=[.!?…])[ \n]")
+_NAME = r"[^\W\d_][\w. -]*|\d{1,3}"
+SYNTAX = re.compile(
+    rf"\{{\{{\{{?[^{{}}\n]+\}}?\}}\}}|\{{%[^\n%]+%\}}|\{{[!#$]?(?:{_NAME})\}}|\*\|(?:{_NAME})\|\*|<%[=-]?[^\n%]+%>|%%(?:{_NAME})%%|%[A-Za-z][A-Za-z_. ]+%"
+    rf"|\[\[(?:{_NAME})\]\]|[$#]\{{[^{{}}\n]+\}}|@@(?:{_NAME})@@|##(?:{_NAME})##|__(?:[A-Za-z][A-Za-z. ]*(?:_[A-Za-z. ]+)*)__|«(?:{_NAME})»|<<(?:{_NAME})>>"
+    r"|\[[A-Z][A-Z_. ]{2,}\]|<(?:INSERT|YOUR|ENTER)[A-Z_. ]{2,}>|<[A-Z]{2,}_[A-Z_]{2,}>|\[%[^\n%]+%\]"
+)
+#: Syntaxes that prose has no other use for.
+TEMPLATE_ONLY = ("{{", "*|", "<%", "{%", "%%", "[[", "@@", "«", "<INSERT", "<<")
+_FRAMED = re.compile(r"(?<![\w'\"`„“«])(?:" + "|".join(re.escape(f).replace(":", " ?:") for f in sorted(FRAMES, key=len, reverse=True)) + r")\s+$")
+_LONGEST_FRAME = max(map(len, FRAMES)) + 4
+_VOID_AFTER = re.compile(r"\)?\s*(?:[,!:.;]|$|\n)|\)?\s+(?:is on|to|ist|est|va|welcome)\b|\)?\s+(?![a-zß-öø-ÿ])")
+_QUOTES = "'\"`„“”«»’‘"
 
 
 def normalised(text: str) -> str:
-    """Compatibility forms, no zero-width characters, straight quotes, one blank for a run of them, folded case."""
-    t = _ZERO_WIDTH.sub("", unicodedata.normalize("NFKC", text)).replace("’", "'").replace("‘", "'")
-    return re.sub(r"[^\S\n]+", " ", re.sub(r"\r\n?", "\n", t)).casefold()
+    """Compatibility forms, no zero-width characters or HTML tags, straight quotes, one blank for a run of them. The
+    case stays, and the lower case has the same length."""
+    t = text
+    if not t.isascii():
+        t = _ZERO_WIDTH.sub("", unicodedata.normalize("NFKC", t)).replace("’", "'").replace("‘", "'").replace("İ", "I")
+    t = t.replace("\r\n", "\n").replace("\r", "\n")
+    if "<" in t:
+        t = _TAG.sub("\n", t)
+    return "\n".join([" ".join(line.split()) for line in t.split("\n")])
 
 
 @lru_cache(maxsize=1)
-def _automata():
+def automaton():
+    """All patterns; the payload is (length, kind)."""
     import ahocorasick
 
-    def made(*groups: tuple[list[str], str]):
-        a = ahocorasick.Automaton()
-        for phrases, kind in groups:
-            for p in phrases:
-                q = " ".join(WORD.findall(normalised(p)))
-                if q and (f" {q} ") not in a:
-                    a.add_word(f" {q} ", (len(q) + 1, kind))
-        a.make_automaton()
-        return a
-
-    anchors = made((PAGE_ANCHORS, "page"), (FILLER_ANCHORS, "filler"))
-    return anchors, made((PAGE_ANCHORS, "page"), (PAGE_PARTS, "part")), made((FILLER_ANCHORS, "filler"), (FILLER_PARTS, "part"))
-
-
-def _words(text: str) -> str:
-    """The words of a text, each between single blanks, for matches at word borders only."""
-    return f" {' '.join(WORD.findall(text))} "
-
-
-def covered(words: str, automaton) -> float:
-    """Share of the letters of a word sequence that lie in a matched pattern."""
-    total = len(words) - words.count(" ")
-    if not total:
-        return 0.0
-    spans = sorted((end - n, end) for end, (n, _) in automaton.iter(words))
-    inside, at = 0, 0
-    for a, b in spans:
-        a = max(a, at)
-        if b > a:
-            inside += b - a - words.count(" ", a, b)
-            at = b
-    return inside / total
+    a = ahocorasick.Automaton()
+    groups = [("opener", OPENERS), ("void", VOIDS), ("latin", [w for w in LATIN if len(w) > 3]), ("mash", [*MASH, *(c * 4 for c in "abcdefghijklmnopqrstuvwxyz"), "xxx"]), ("filler", FILLER_ANCHORS), ("page", PAGE_ANCHORS)]
+    for kind, patterns in groups:
+        for p in patterns:
+            a.add_word(p.lower(), (len(p), kind))
+    a.make_automaton()
+    return a
+
+
+def hits(low: str) -> dict[str, list[tuple[int, int]]]:
+    """kind -> [(start, end)] of the patterns in a text in lower case, those of words at word borders only."""
+    flat = low.replace("\n", " ")
+    n, out = len(flat), {}
+    for last, (length, kind) in automaton().iter(flat):
+        a, b = last + 1 - length, last + 1
+        if kind == "opener" or not ((a and flat[a].isalnum() and flat[a - 1].isalnum()) or (b < n and flat[last].isalnum() and flat[b].isalnum())):
+            out.setdefault(kind, []).append((a, b))
+    return out
 
 
-_TAG = re.compile(r"</?(?:div|p|html|head|title|body|center|h\d|noscript|span|br|b|i|hr|a|td|tr|table)\b[^<>]*>")
-_SENTENCE = re.compile(r"\n+|(?<=[.!?…])\s+")
+def covered(text: str, start: int, end: int, spans: list[tuple[int, int]], vocabulary: frozenset[str]) -> float:
+    """Share of the letters of text[start:end] that lie in a span or a word of the vocabulary; words inside names and
+    function words count neither way. 0 without letters of other words."""
+    skipped = [m.span() for m in _NAMES.finditer(text, start, end)]
+    inside = total = 0
+    k = j = 0
+    spans = sorted(s for s in spans if s[1] > start and s[0] < end)
+    reach = 0
+    for m in WORD.finditer(text, start, end):
+        a, b = m.span()
+        while j < len(spans) and spans[j][0] <= a:
+            reach = max(reach, spans[j][1])
+            j += 1
+        if b <= reach:
+            inside += b - a
+            total += b - a
+            continue
+        while k < len(skipped) and skipped[k][1] <= a:
+            k += 1
+        if (k < len(skipped) and skipped[k][0] <= a) or m.group() in FUNCTION_WORDS:
+            continue
+        total += b - a
+        if m.group() in vocabulary:
+            inside += b - a
+    return inside / total if total else 0.0
 
 
-def is_page(text: str) -> bool:
+def is_page(low: str, spans: list[tuple[int, int]]) -> bool:
     """The text as a whole, or one whole line of it, is a message of this kind: a page that broke off after some
     content has it in the place of the rest. A sentence that mentions or quotes one has other words around it."""
-    anchors, pages, _ = _automata()
-    if covered(_words(text), pages) >= PAGE_COVERAGE:
+    if covered(low, 0, len(low), spans, PAGE_WORDS) >= PAGE_COVERAGE:
         return True
-    for line in text.split("\n"):
-        words = _words(line)
-        if len(words) > 2 and any(kind == "page" for _, (_, kind) in anchors.iter(words)) and covered(words, pages) >= LINE_COVERAGE:
+    done = -1
+    for a, _ in spans:
+        if a <= done:
+            continue
+        start, done = low.rfind("\n", 0, a) + 1, (low.find("\n", a) + len(low) + 1) % (len(low) + 1)
+        if covered(low, start, done, spans, PAGE_WORDS) >= LINE_COVERAGE:
             return True
     return False
 
@@ -181,80 +228,81 @@ def is_latin(words: list[str]) -> bool:
     return False
 
 
-def has_filler(text: str, anchored: bool) -> bool:
-    _, _, filler = _automata()
-    anchors = _automata()[0]
-    for s in _SENTENCE.split(text):
-        words = WORD.findall(s)
-        if not words:
+def has_filler(low: str, found: dict[str, list[tuple[int, int]]]) -> bool:
+    """A sentence with a hit that filler phrases cover, or that is mock Latin or a mashed keyboard."""
+    borders = [0, *[m.end() for m in _SENTENCE_END.finditer(low)], len(low)]
+    at, spans, done = 0, found.get("filler", []), -1
+    for a, _ in sorted(x for kind in ("filler", "latin", "mash") for x in found.get(kind, [])):
+        if a < done:
             continue
+        while borders[at + 1] <= a:
+            at += 1
+        start, done = borders[at], borders[at + 1]
+        words = WORD.findall(low, start, done)
         if is_latin(words):
             return True
-        if all(w in MASH or re.fullmatch(r"(?:x{3,}|(\w)\1{3,})", w) for w in words) and len(words) >= 3:
+        if len(words) >= 3 and all(w in MASH or re.fullmatch(r"x{3,}|(\w)\1{3,}", w) for w in words):
+            return True
+        if any(start <= x < done for x, _ in spans) and covered(low, start, done, spans, FILLER_WORDS) >= FILLER_COVERAGE:
             return True
-        if anchored:
-            line = _words(s)
-            if any(kind == "filler" for _, (_, kind) in anchors.iter(line)) and covered(line, filler) >= FILLER_COVERAGE:
-                return True
     return False
 
 
-_NAME = r"[^\W\d_][\w. -]{0,40}|\d{1,3}"
-SYNTAX = (
-    rf"\{{\{{\{{?[^{{}}\n]{{1,60}}\}}?\}}\}}|\{{%[^\n%]{{1,60}}%\}}|\{{[!#$]?(?:{_NAME})\}}|\*\|(?:{_NAME})\|\*|<%[=-]?[^\n%]{{1,60}}%>|%%(?:{_NAME})%%|%[A-Za-z][A-Za-z_. ]{{1,40}}%"
-    rf"|\[\[(?:{_NAME})\]\]|[$#]\{{[^{{}}\n]{{1,60}}\}}|@@(?:{_NAME})@@|##(?:{_NAME})##|__(?:[A-Za-z][A-Za-z. ]*(?:_[A-Za-z. ]+)*)__|«(?:{_NAME})»|<<(?:{_NAME})>>"
-    r"|\[[A-Z][A-Z_. ]{2,40}\]|<(?:INSERT|YOUR|ENTER)[A-Z_. ]{2,40}>|<[A-Z]{2,20}_[A-Z_]{2,30}>|\[%[^\n%]{1,60}%\]"
-)
-VOID = r"\(null\)|\[object object\]|\b(?:null|undefined|none|nan|nil|invalid date)\b|%[sd]\b"
-_NOISE = r"(?:(?:\S*[^\x00-\x7fäöüßéèêàáíóúñçÄÖÜÉÁÍÓÚÑÀÈ\s«»]\S*|[-=*_~]{4,}|<\|\w+\|>|team|cup,|nouveau!|indented|\d+)\s+){0,6}"
-#: Where a template puts a value: after a greeting, a label of a value, or inside a fixed phrase.
-FRAME = (
-    r"(?:\b(?:dear|hello|hi|hey|hallo|guten tag|liebe/r|lieber|liebe|bonjour|cher|chère|estimad[oa]|hola|thanks,|thank you,|total due ?:|amount due ?:|your total is|your order|betrag ?:|montant ?:|importe ?:"
-    r"|ihre bestellung|votre commande|su pedido|tu pedido|items ?:|delivered on|for order|thanks for order)\s+" + _NOISE + ")"
-)
-_FRAME_BEFORE = re.compile(rf"(?<![\w'\"`„“«]){FRAME}$", re.I)
-_VOID = re.compile(VOID, re.I)
-_VOID_AFTER = re.compile(r"\s*(?:[,!:.;]|$|\n)|\s+(?:is on|to|ist|est|va|welcome)\b")
-_BARE = re.compile(SYNTAX)
+def _sentence(text: str, a: int, b: int) -> tuple[str, str]:
+    """What stands before and after text[a:b] in its sentence."""
+    start = max(text.rfind(x, 0, a) for x in ("\n", ". ", "! ", "? "))
+    ends = [e for e in (text.find(x, b) for x in ("\n", ". ", "! ", "? ")) if e >= 0]
+    return text[start + 1 : a], text[b : min(ends, default=len(text))]
 
 
-def has_placeholder(text: str) -> bool:
+def is_explained(before: str, slot: str, after: str) -> bool:
+    """The sentence quotes the slot, has it as the object of an instruction, speaks about such slots, or is code."""
+    if before[-1:] in tuple(_QUOTES) and after[:1] in tuple(_QUOTES):
+        return True
+    words = WORD.findall(before.lower())
+    if words and words[-1] in META_VERBS and before[-1:] == " ":
+        return True
+    return bool(META_WORDS.intersection(words) or META_WORDS.intersection(WORD.findall(after.lower()))) or bool(CODE_WORDS.search(before))
+
+
+def has_placeholder(text: str, low: str, found: dict[str, list[tuple[int, int]]]) -> bool:
     """An unfilled placeholder, or a value that a template failed to fill, that is neither quoted nor explained."""
-    t = re.sub(r"[^\S\n]+", " ", _ZERO_WIDTH.sub("", text).replace("\r\n", "\n").replace("\r", "\n"))
-    for m in _VOID.finditer(t):
-        if _VOID_AFTER.match(t, m.end()) and _FRAME_BEFORE.search(t[max(0, m.start() - 160) : m.start()]):
+    for a, b in found.get("void", []):
+        a -= low[a - 1 : a] == "("
+        if _FRAMED.search(low[max(0, a - _LONGEST_FRAME) : a]) and _VOID_AFTER.match(text, b):
             return True
-    for m in _BARE.finditer(t):
-        before, after = t[max(0, m.start() - 160) : m.start()], t[m.end() : m.end() + 160]
-        if _FRAME_BEFORE.search(before):
+    done = -1
+    for a, _ in found.get("opener", []):
+        m = SYNTAX.match(text, a) if a >= done else None
+        if not m:
+            continue
+        done = m.end()
+        if _FRAMED.search(low[max(0, a - _LONGEST_FRAME) : a]):
             return True
-        around = (re.split(r"(?<=[.!?])\s", before)[-1] + " § " + re.split(r"(?<=[.!?])\s", after)[0]).casefold()
-        quoted = before[-1:] in tuple("'\"`„“") and after[:1] in tuple("'\"`“”")
-        if not quoted and not any(c in around for c in CUES) and _alone(m.group(), before, after):
+        before, after = _sentence(text, a, done)
+        if not is_explained(before, m.group(), after) and _alone(m.group(), text, a, done):
             return True
     return False
 
 
-def _alone(slot: str, before: str, after: str) -> bool:
+def _alone(slot: str, text: str, a: int, b: int) -> bool:
     """A slot that no frame announces counts if it fills its line, or if its syntax has no other use in prose."""
-    line = (before.rsplit("\n", 1)[-1] + after.split("\n", 1)[0]).strip(" .,:;!#>*-")
-    if not re.search(r"\w", line):
-        return True
-    return slot.startswith(("{{", "*|", "<%", "{%", "%%", "[[", "@@", "«", "<INSERT"))
+    line = text[text.rfind("\n", 0, a) + 1 : a] + text[b : (text.find("\n", b) + len(text) + 1) % (len(text) + 1)]
+    return slot.startswith(TEMPLATE_ONLY) or not re.search(r"\w", line)
 
 
 def residue_kind(text: str | None) -> str | None:
     """placeholder, filler, page, or None for a text that is none of them (also null, empty and blank ones)."""
-    if not text or not text.strip():
+    if not text or text.isspace():
         return None
-    if has_placeholder(text):
+    t = normalised(text)
+    low = t.lower()
+    found = hits(low)
+    if ("void" in found or "opener" in found) and has_placeholder(t, low, found):
         return "placeholder"
-    t = normalised(_TAG.sub(" \n ", text.casefold()))
-    words = _words(t)
-    kinds = {kind for _, (_, kind) in _automata()[0].iter(words)}
-    if has_filler(t, "filler" in kinds):
+    if ("filler" in found or "latin" in found or "mash" in found) and has_filler(low, found):
         return "filler"
-    return "page" if "page" in kinds and is_page(t) else None
+    return "page" if "page" in found and is_page(low, found["page"]) else None
 
 
 def residue(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
