@@ -10,7 +10,8 @@ short costs at most another level and never a wrong group.
 
 Vertices are numbered once, so that levels move two longs an edge; a label is one long, the time of arrival above the
 number of its center, and the earliest is a minimum that hash aggregation finds without sorting. Labels are written
-every round, so that no plan reads the edges more than once.
+every round, so that no plan reads the edges more than once; only the two rounds of a graph too small to have hot
+vertices are one plan.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from tributary.operators.skew import HOT_SHARE, lookup_join
 from tributary.session import saved, saved_rows
 
 #: Rate of the shifts (larger: smaller clusters) and rounds of growth a level.
-BETA, ROUNDS = 0.1, 3
+BETA, ROUNDS = 0.1, 2
 MAX_LEVELS = 60
 #: A vertex is hot if it has at least so many edges and at least 1/HOT_SHARE of all.
 HOT_LEAST = 20_000
@@ -94,12 +95,16 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b", rounds: int = ROUND
         numbered = lookup_join(numbered, vertices.select(F.col("v").alias(end), F.col("n").alias(n)), end, "inner", least=hot_least)
     edges, n = saved_rows(numbered.select(F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("e")).select("e.*").distinct(), "ldd-edges")
     levels: list[DataFrame] = []
+    large: list[bool] = []
     while n:
+        large.append(n >= hot_least)
         if len(levels) == MAX_LEVELS:
             raise RuntimeError("the decomposition does not end")
-        labels = saved(first_round(edges, len(levels)), "ldd-labels")
-        floor = max(hot_least, -(-n // HOT_SHARE))
-        hot = [r[0] for r in labels.where(F.col("degree") >= floor).select("src").collect()] if n >= hot_least else []
+        labels, hot = first_round(edges, len(levels)), []
+        if n >= hot_least:
+            labels = saved(labels, "ldd-labels")
+            floor = max(hot_least, -(-n // HOT_SHARE))
+            hot = [r[0] for r in labels.where(F.col("degree") >= floor).select("src").collect()]
         for _ in range(rounds - 1):
             labels = saved(next_round(edges, labels, hot), "ldd-labels")
         to = labels.select("src", _center(F.col("label")).alias("center"))
@@ -113,9 +118,11 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b", rounds: int = ROUND
     if not levels:
         return named.select("v", F.col("at").alias("root"))
     composed = levels[-1].select("src", F.col("center").alias("root"))
-    for lower in reversed(levels[:-1]):
+    for i, lower in enumerate(reversed(levels[:-1]), 1):
         up = composed.select(F.col("src").alias("center"), F.col("root").alias("up"))
-        composed = saved(lookup_join(lower, up, "center", least=hot_least).select("src", F.coalesce("up", "center").alias("root")), "ldd-composed")
+        composed = (lookup_join(lower, up, "center", least=hot_least) if large[-1 - i] else lower.join(up, "center", "left")).select("src", F.coalesce("up", "center").alias("root"))
+        if i % 4 == 0 or large[-1 - i]:
+            composed = saved(composed, "ldd-composed")
     return named.join(composed.select(F.col("src").alias("at"), "root"), "at", "left").select("v", F.coalesce("root", "at").alias("root"))
 
 
