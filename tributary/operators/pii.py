@@ -27,6 +27,12 @@ def token(normalized: Column, pii_class: str, pepper: str) -> Column:
     return F.when(normalized.isNotNull(), F.concat(F.lit("tok_"), F.substring(digest, 1, 32)))
 
 
+def tokens_only(df: DataFrame, columns: dict[str, str], pepper: str) -> DataFrame:
+    """df with `<column>_token` in the place of each column that it has; for streams too."""
+    made = [token(normalize(F.col(c), k), k, pepper).alias(f"{c}_token") for c, k in columns.items() if c in df.columns]
+    return df.select(*[c for c in df.columns if c not in columns], *made)
+
+
 def tokenize_frame(df: DataFrame, columns: dict[str, str], pepper: str, key_version: int = 1) -> tuple[DataFrame, DataFrame | None]:
     """(df with `<column>_token` in the place of each column, vault rows (token, pii_class, value, key_version)).
 
@@ -36,7 +42,7 @@ def tokenize_frame(df: DataFrame, columns: dict[str, str], pepper: str, key_vers
     if not present:
         return df, None
     made = {c: token(normalize(F.col(c), k), k, pepper) for c, k in present.items()}
-    out = df.select(*[c for c in df.columns if c not in present], *[e.alias(f"{c}_token") for c, e in made.items()])
+    out = tokens_only(df, present, pepper)
     entries = F.array(*[F.struct(made[c].alias("token"), F.lit(k).alias("pii_class"), normalize(F.col(c), k).alias("value")) for c, k in present.items()])
     vault = df.select(F.inline(F.filter(entries, lambda x: x["token"].isNotNull()))).groupBy("token").agg(F.min("pii_class").alias("pii_class"), F.min("value").alias("value"))
     return out, vault.withColumn("key_version", F.lit(key_version))

@@ -146,12 +146,13 @@ SPECS = {
 }
 
 
-def stage(raw: DataFrame, spec: StagingSpec, pepper: str, deduplicate: bool = True) -> tuple[DataFrame, DataFrame | None]:
+def stage(raw: DataFrame, spec: StagingSpec, pepper: str, deduplicate: bool = True, vault: bool = True) -> tuple[DataFrame, DataFrame | None]:
     """(staged rows, vault rows). Rows without a required column are left out; of one key the latest load stays.
+    A stream is staged with neither deduplication nor vault, which aggregate.
     Missing or malformed values are null, never an error. No plain identifier leaves this function."""
     out = raw.select(*[e.alias(n) for n, e in spec.columns().items()])
     for c in spec.required:
         out = out.where(F.col(c).isNotNull())
     if deduplicate and spec.keys:
         out = latest_per_key(out, list(spec.keys), list(spec.order))
-    return pii.tokenize_frame(out, spec.identifiers, pepper)
+    return pii.tokenize_frame(out, spec.identifiers, pepper) if vault else (pii.tokens_only(out, spec.identifiers, pepper), None)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tributary.plans import core_problems as core
-from tributary.plans import core_sql, tables, tables_sql
+from tributary.plans import core_sql, entities, entities_sql, serving, serving_sql, staged, staged_sql, tables, tables_sql
 from tributary.session import Query
 
 FLAGSHIP = "order_summary"
@@ -19,6 +19,9 @@ QUERIES: dict[str, Query] = {
     "p7_mailchimp_subscribers": core.p7_mailchimp_subscribers,
     "p7_incremental_watermarks": core.p7_incremental_watermarks,
     **tables.QUERIES,
+    **staged.QUERIES,
+    **entities.QUERIES,
+    **serving.QUERIES,
 }
 
-ORACLE: dict[str, str] = {**core_sql.ORACLE, **tables_sql.ORACLE}
+ORACLE: dict[str, str] = {**core_sql.ORACLE, **tables_sql.ORACLE, **staged_sql.ORACLE, **entities_sql.ORACLE, **serving_sql.ORACLE}
