@@ -35,6 +35,32 @@ def test_life_of_a_table(spark, tmp_path):
     assert rows(t) == []
 
 
+def test_merge_rewrites_only_files_with_a_key(spark, tmp_path):
+    t = LakeTable(spark, f"file://{tmp_path}/part ed", "m")
+    f = lambda *x: spark.createDataFrame(list(x), "m string, k int, v string")
+    t.replace(f(("a b/1", 1, "x"), ("c", 2, "x")).coalesce(1))
+    t.append(f(("c", 3, "x"), ("d", 4, "x")).coalesce(1))
+    snap = t.merge_upsert(f(("c", 3, "y"), ("e", 5, "y"), ("d", 1, "moved")), ["k"])
+    assert snap.rewritten == 2 and snap.rows == 5 == t.read().count()
+    assert sorted(map(tuple, t.read().select("k", "m", "v").collect())) == [(1, "d", "moved"), (2, "c", "x"), (3, "c", "y"), (4, "d", "x"), (5, "e", "y")]
+    assert t.merge_upsert(f(("z", 9, "new")), ["k"]).rewritten == 0
+    assert t.merge_upsert(f(("z", 9, "again")), ["k"]).rewritten == 1 and t.read().count() == 6
+    assert [tuple(r) for r in t.read(partitions=["z"]).collect()] == [("z", 9, "again")]
+
+
+def test_two_inserters_conflict(spark, tmp_path, monkeypatch):
+    t, other = LakeTable(spark, f"file://{tmp_path}/i"), LakeTable(spark, f"file://{tmp_path}/i")
+    f = lambda *x: spark.createDataFrame(list(x), "k int, v string")
+    t.replace(f((1, "a")))
+    append = t.append
+    monkeypatch.setattr(t, "append", lambda df, base=None: (other.merge_insert(f((2, "b")), ["k"]), append(df, base))[1])
+    with pytest.raises(CommitConflict):
+        t.merge_insert(f((2, "c"), (2, "a")), ["k"])
+    assert rows(other) == [(1, "a"), (2, "b")]
+    other.merge_insert(f((3, "z"), (3, "y")), ["k"])
+    assert rows(other)[-1] == (3, "y")
+
+
 def test_partitions_and_conflict(spark, tmp_path):
     t = LakeTable(spark, f"file://{tmp_path}/p", "m")
     f = lambda *x: spark.createDataFrame(list(x), "m string, v int")

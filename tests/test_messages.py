@@ -28,14 +28,35 @@ def test_one_copy_over_batches(spark, tmp_path):
     assert s.ingest(spark.createDataFrame([], SCHEMA)) == []
     assert s.ingest(spark.createDataFrame([("a", 1, day(0), "x"), ("a", 1, day(1), "y"), ("b", 1, day(40), "x"), (None, 1, day(0), "n")], SCHEMA)) == []
     assert content(s) == [("", 1, "n", 1), ("a", 1, "y", 2), ("b", 1, "x", 1)]
-    before = s.manifest()["partitions"]["2024-02"]
-    # a copy of a January message, a new message of February, one of March: only January is rewritten
-    assert s.ingest(spark.createDataFrame([("a", 1, day(80), "z"), ("c", 2, day(41), "c"), ("d", 1, day(70), "d")], SCHEMA)) == ["2024-01"]
+    assert len({p for p in s.data.snapshot().folders}) == len({(r._place) for r in s.read().collect()})
+    before = {p: f for p, f in s.data.snapshot().folders.items() if p.startswith("2024-02")}
+    place_of_a = s.read().where("id = 'a'").first()._place
+    assert place_of_a.startswith("2024-01/")
+    # a copy of a January message, a new message of February, one of March: only the partition of the first is rewritten
+    assert s.ingest(spark.createDataFrame([("a", 1, day(80), "z"), ("c", 2, day(41), "c"), ("d", 1, day(70), "d")], SCHEMA)) == [place_of_a]
     assert content(s) == [("", 1, "n", 1), ("a", 1, "z", 3), ("b", 1, "x", 1), ("c", 2, "c", 1), ("d", 1, "d", 1)]
-    assert s.manifest()["partitions"]["2024-02"][: len(before)] == before
+    assert all(s.data.snapshot().folders[p][: len(f)] == f for p, f in before.items())
+    assert s.data.snapshot().rewritten == 1
     assert {r.id for r in s.read(["2024-01"]).collect()} == {"a", None}
 
 
+def test_of_two_writers_one_fails(spark, tmp_path, monkeypatch):
+    from tributary.sources.lake import CommitConflict
+
+    s, other = store(spark, tmp_path), store(spark, tmp_path)
+    s.ingest(spark.createDataFrame([("a", 1, day(0), "x")], SCHEMA))
+    append = s.index.append
+
+    def late(df):
+        other.ingest(spark.createDataFrame([("a", 1, day(2), "y")], SCHEMA))
+        return append(df)
+
+    monkeypatch.setattr(s.index, "append", late)
+    with pytest.raises(CommitConflict):
+        s.ingest(spark.createDataFrame([("a", 1, day(3), "z")], SCHEMA))
+    assert content(other) == [("a", 1, "y", 2)]
+
+
 def test_ties_and_null_times(spark, tmp_path):
     s = store(spark, tmp_path)
     s.ingest(spark.createDataFrame([("a", None, None, "x"), ("a", None, None, "y"), ("a", None, day(0), "w")], SCHEMA))

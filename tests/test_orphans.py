@@ -24,6 +24,18 @@ def test_states(spark, bits, monkeypatch):
     assert sorted(map(tuple, reference_states(refs, parents).collect())) == [("a", True, 1), ("c", False, None)]
 
 
+def test_sections_reject_like_one_filter(spark, monkeypatch):
+    """Keys beyond the largest filter are dealt to sections; no key is lost, and most of what is absent is rejected."""
+    monkeypatch.setattr(bloom, "LEAST_BITS", 1 << 12)
+    keys = spark.range(20_000).selectExpr("cast(id * 3 as string) as ref")
+    refs = spark.range(30_000).selectExpr("cast(id as string) as ref").unionByName(spark.createDataFrame([(None,)], "ref string"))
+    got = {r.ref: r.maybe for r in bloom.probed(refs, keys, "ref", most=1 << 14, section_refs=4000).collect()}
+    assert len(got) == 30_000 and all(got[str(i)] for i in range(0, 30_000, 3))
+    assert sum(got.values()) < 10_000 + 20_000 * 0.1
+    states = {r.ref: r.present for r in reference_states(refs, keys, most_bits=1 << 14).collect()}
+    assert states == {str(i): i % 3 == 0 for i in range(30_000)}
+
+
 def test_empty_sides(spark):
     none = spark.createDataFrame([], "ref string, x int")
     some = spark.createDataFrame([("a", 1)], "ref string, x int")

@@ -32,16 +32,16 @@ CASES = [
     ("1704164645123456", "2024-01-02 03:04:05.123456"),
     ("2024-11-03 01:30:00", "2024-11-03 05:30:00"),
     ("2024-03-10 02:30:00", "2024-03-10 07:30:00"),
+    ("1970-01-01T00:00:00Z", "1970-01-01 00:00:00"), ("1900-03-04 05:06:07Z", "1900-03-04 05:06:07"), ("2150-01-01", "2150-01-01 05:00:00"), ("99999999", "1973-03-03 09:46:39"), ("20240102", "2024-01-02 05:00:00"),
+    ("1704164645123456789", "2024-01-02 03:04:05.123457"), ("17041646451234", "2510-01-11 06:40:51.234"),
     ("2024-02-30T10:00:00Z", None), ("0000-00-00 00:00:00", None), ("never", None), ("", None), ("  ", None), (None, None), ("12", None), ("9" * 100_000, None),
 ]
 
 
 def test_spellings(spark):
-    import pandas as pd
-
     got = us(spark, [(v, "America/New_York", "mdy", "s") for v, _ in CASES])
     for i, (v, want) in enumerate(CASES):
-        assert got.get(i) == (None if want is None else pd.Timestamp(want).value // 1000), v
+        assert got.get(i) == (None if want is None else int(np.datetime64(want, "us").astype("int64"))), v
 
 
 def test_order_decided_by_neighbours(spark):
@@ -52,6 +52,32 @@ def test_order_decided_by_neighbours(spark):
     assert us(spark, rows)[2] == pd.Timestamp("2024-04-05 10:00").value // 1000
 
 
+def test_order_is_kept_over_records_that_do_not_show_it(spark):
+    import pandas as pd
+
+    for shown, want in (("25/03/2024 10:00", "2024-04-05"), ("03/25/2024 10:00", "2024-05-04")):
+        rows = [(shown, None, None, "s"), *[(f"2024-03-2{i}T10:00:00Z", None, None, "s") for i in range(6, 9)], ("05/04/2024 10:00", None, None, "s"), ("2024-05-30", None, None, "s")]
+        assert us(spark, rows)[4] == pd.Timestamp(f"{want} 10:00").value // 1000
+
+
+def test_zone_names_with_several_meanings(spark):
+    """A declared zone tells the meaning; without one it is the usual one, unless that would go back in time."""
+    import pandas as pd
+
+    got = us(spark, [("2024-01-02 12:00:00 CST", z, "mdy", z) for z in ("America/Chicago", "Asia/Shanghai", None)])
+    assert [got[i] for i in range(3)] == [pd.Timestamp(t).value // 1000 for t in ("2024-01-02 18:00", "2024-01-02 04:00", "2024-01-02 18:00")]
+    rows = [("2024-01-02 11:00:00Z", None, None, "s"), ("2024-01-02 12:00:00 IST", None, None, "s"), ("2024-01-02 13:00:00Z", None, None, "s")]
+    assert us(spark, rows)[1] == pd.Timestamp("2024-01-02 11:00").value // 1000
+
+
+def test_span_is_a_choice(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("1970-01-01", None, None), ("2024-01-01", None, None)], "v string, z string, o string")
+    sizes = lambda **k: [r[0] for r in ts.candidates(df, "v", "z", "o", **k).select(F.size("candidates")).collect()]
+    assert sizes() == [1, 1] and sizes(between=(10**15, 2 * 10**15)) == [0, 1]
+
+
 def test_empty(spark):
     assert us(spark, []) == {}
 

@@ -12,15 +12,13 @@ from pyspark.sql import functions as F
 from tributary.operators import bloom
 
 
-def reference_states(refs: DataFrame, parents: DataFrame, key: str = "ref") -> DataFrame:
+def reference_states(refs: DataFrame, parents: DataFrame, key: str = "ref", most_bits: int = bloom.MOST_BITS) -> DataFrame:
     """The distinct non-null values of `key` in refs, with the columns of parents (one row a key) and `present`.
 
     Keys the filter rejects are orphans without any join; the others are joined exactly. Other columns of refs are
-    not read. An empty parent table makes every reference an orphan; an empty refs gives an empty result."""
-    seen = bloom.build(parents, key)
+    not read. Parents too many for a filter of most_bits are dealt to sections (bloom.probed). An empty parent table makes every reference an orphan; an empty refs gives an empty result."""
     rest = [c for c in parents.columns if c != key]
-    distinct = refs.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(bloom.hash_of(key)).alias("h"))
-    probed = distinct.select(key, seen.may_contain(F.col("h")).alias("maybe"))
+    probed = bloom.probed(refs, parents, key, most_bits)
     nothing = [F.lit(None).cast(parents.schema[c].dataType).alias(c) for c in rest]
     definite = probed.where(~F.col("maybe")).select(key, F.lit(False).alias("present"), *nothing)
     checked = probed.where("maybe").select(key).join(parents.withColumn("present", F.lit(True)), key, "left")

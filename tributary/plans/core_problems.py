@@ -10,7 +10,7 @@ from tributary.operators.flatten import flatten_customers, flatten_subscribers
 from tributary.operators.messages import COPIES, MessageStore
 from tributary.operators.orphans import orphan_report, reference_states
 from tributary.operators.skew import lookup_join
-from tributary.operators.timestamps import normalise
+from tributary.operators.timestamps import candidates, normalise
 from tributary.session import saved, scratch, table
 
 
@@ -88,7 +88,7 @@ def message_rows(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     They come out of a store of delivered() filled in two batches: what arrived before the last month that has
     arrivals, and that month's messages, whose copies in older partitions the identifier index finds."""
     arrived = MESSAGES[name][3]
-    store = MessageStore(spark, scratch(spark, "p7-store"), MESSAGE_KEYS, [arrived], f"date_format({arrived}, 'yyyy')")
+    store = MessageStore(spark, scratch(spark, "p7-store"), MESSAGE_KEYS, [arrived], f"date_format({arrived}, 'yyyy-MM')")
     messages = delivered(spark, sf_dir, name)
     last = messages.agg(F.date_trunc("month", F.max(arrived)).alias("m")).first()["m"]
     if last is None:
@@ -146,7 +146,27 @@ def source_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(zones, "origin", "left").withColumn("series", F.concat_ws("/", "source_table", "field", "origin"))
 
 
+TIME_KEYS = ["source_table", "kafka_offset", "field"]
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each value that names an instant, in microseconds since 1970 UTC."""
-    keep = ["source_table", "kafka_offset", "field"]
-    return normalise(source_times(spark, sf_dir), "value", "tz_name", "date_order", "series", "kafka_offset", "value", keep)
+    return normalise(source_times(spark, sf_dir), "value", "tz_name", "date_order", "series", "kafka_offset", "value", TIME_KEYS)
+
+
+def p6_undeclared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of senders whose date order is not known: the path over each sender's records tells it."""
+    times = source_times(spark, sf_dir).withColumn("date_order", F.lit(None).cast("string"))
+    return normalise(times, "value", "tz_name", "date_order", "series", "kafka_offset", "value", TIME_KEYS)
+
+
+def p6_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: values with several interpretations where no date order is declared, and how many of them the path and
+    the cheapest interpretation of each value by itself get right."""
+    times = source_times(spark, sf_dir)
+    right = saved(p6_found(spark, sf_dir), "p6-right")
+    alone = candidates(times.withColumn("date_order", F.lit(None).cast("string")), "value", "tz_name", "date_order").where(F.size("candidates") > 1)
+    alone = alone.select(*TIME_KEYS, F.get("candidates", F.lit(0))["us"].alias("cheapest"))
+    both = alone.join(right, TIME_KEYS).join(p6_undeclared(spark, sf_dir).withColumnRenamed("utc_us", "by_path"), TIME_KEYS)
+    hits = lambda c: F.coalesce(F.sum((F.col(c) == F.col("utc_us")).cast("bigint")), F.lit(0))
+    return both.agg(F.count(F.lit(1)).alias("ambiguous"), hits("by_path").alias("right_by_path"), hits("cheapest").alias("right_by_cheapest"))

@@ -13,6 +13,8 @@ QUERIES: dict[str, Query] = {
     "p5_found": core.p5_found,
     "p5_report": core.p5_report,
     "p6_found": core.p6_found,
+    "p6_undeclared": core.p6_undeclared,
+    "p6_accuracy": core.p6_accuracy,
     "p7_found": core.p7_found,
     "p7_messages": core.p7_messages,
     "p7_shopify_customers": core.p7_shopify_customers,

@@ -56,10 +56,20 @@ def scratch(spark: SparkSession, label: str) -> str:
 
 def saved(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage like a reliable checkpoint, but columnar and with
-    statistics for the planner. The rows stay until drop_scratch(), or as long as the shared folder does."""
+    statistics for the planner. The rows stay until forget(), or as long as the shared folder does."""
     path = scratch(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Deletes what saved() wrote for these frames, once nothing that is still to be computed reads them."""
+    for df in frames:
+        path = df.__dict__.pop("_saved_at", None)
+        if path:
+            drop_path(df.sparkSession, path)
 
 
 def saved_rows(df: DataFrame, label: str) -> tuple[DataFrame, int]:

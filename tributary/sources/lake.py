@@ -2,7 +2,9 @@
 
 Every write puts its files into a new folder and commits by creating the next numbered manifest, which fails if
 another writer has created it; readers take the newest manifest, so they see a write whole or not at all. A manifest
-lists data folders, each with its partition; nothing that a reader may be using is ever overwritten.
+lists data folders, each with its partition, or single files of a folder whose other files a merge has rewritten;
+nothing that a reader may be using is ever overwritten. A writer commits on the version that it has read, so what came
+in between is a conflict and never lost.
 """
 
 from __future__ import annotations
@@ -10,12 +12,16 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tributary.session import forget, saved
+
 
 class CommitConflict(RuntimeError):
     pass
@@ -33,6 +39,8 @@ class Snapshot:
     rows: int
     folders: dict[str, list[str]]
     schema: str
+    #: Files that a merge had to rewrite.
+    rewritten: int = 0
 
 
 class LakeTable:
@@ -70,8 +78,8 @@ class LakeTable:
     def snapshots(self) -> list[Snapshot]:
         return [self.snapshot(v) for v in self.versions()]
 
-    def _commit(self, folders: dict[str, list[str]], schema: str, rows: int, operation: str, base: int) -> Snapshot:
-        snap = Snapshot(base + 1, time.time(), operation, rows, folders, schema)
+    def _commit(self, folders: dict[str, list[str]], schema: str, rows: int, operation: str, base: int, rewritten: int = 0) -> Snapshot:
+        snap = Snapshot(base + 1, time.time(), operation, rows, folders, schema, rewritten)
         fs, p = self._fs(f"{self.path}/log/{snap.version:010d}.json")
         try:
             out = fs.create(p, False)
@@ -105,18 +113,23 @@ class LakeTable:
         if not self.partition:
             df.write.parquet(f"{self.path}/{folder}")
             return {"": [folder]}, seen.get["n"]
-        df.withColumn("_p", F.coalesce(F.col(self.partition).cast("string"), F.lit("null"))).write.partitionBy("_p").parquet(f"{self.path}/{folder}")
+        df.withColumn("_p", self._place()).write.partitionBy("_p").parquet(f"{self.path}/{folder}")
         fs, p = self._fs(f"{self.path}/{folder}")
         unescape = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
         names = [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()]
         return {unescape(n.removeprefix("_p=")): [f"{folder}/{n}"] for n in names}, seen.get["n"]
 
+    def _place(self):
+        return F.coalesce(F.col(self.partition).cast("string"), F.lit("null")) if self.partition else F.lit("")
+
     def _head(self) -> tuple[int, dict[str, list[str]], int]:
         snap = self.snapshot()
         return (snap.version, snap.folders, snap.rows) if snap else (0, {}, 0)
 
-    def append(self, df: DataFrame) -> Snapshot:
-        base, old, n = self._head()
+    def append(self, df: DataFrame, base: int | None = None) -> Snapshot:
+        """Adds rows. base: the version that df was made from, if that must still be the latest."""
+        version, old, n = self._head()
+        base = version if base is None else base
         new, rows = self._write(df)
         return self._commit({k: [*old.get(k, []), *new.get(k, [])] for k in {**old, **new}}, df.schema.json(), n + rows, "append", base)
 
@@ -140,21 +153,61 @@ class LakeTable:
         snap = self.snapshot()
         return self._commit({}, snap.schema, 0, "truncate", snap.version)
 
+    def swap_partitions(self, df: DataFrame, gone: list[str], base: int, before: Callable[[DataFrame], object] | None = None) -> Snapshot:
+        """Removes some partitions and adds the rows of df to what is left, in one step on version `base`. before is
+        given the rows as written, when nobody else sees them yet."""
+        snap = self.snapshot(base) if base else None
+        old = {k: fs for k, fs in (snap.folders if snap else {}).items() if k not in gone}
+        lost = self.read(base, gone).count() if snap and gone else 0
+        new, rows = self._write(df)
+        if before and rows:
+            before(self.spark.read.schema(df.schema).parquet(*[f"{self.path}/{f}" for fs in new.values() for f in fs]))
+        folders = {k: [*old.get(k, []), *new.get(k, [])] for k in {**old, **new}}
+        return self._commit(folders, df.schema.json(), (snap.rows if snap else 0) - lost + rows, "swap", base, len(gone))
+
+    def _paths(self, at: str) -> list[str]:
+        """The data files of a manifest's entry, itself if it is a file."""
+        if at.endswith(".parquet"):
+            return [at]
+        fs, p = self._fs(f"{self.path}/{at}")
+        return [f"{at}/{s.getPath().getName()}" for s in fs.listStatus(p) if s.getPath().getName().endswith(".parquet")]
+
     def merge_upsert(self, df: DataFrame, keys: list[str]) -> Snapshot:
-        """Rows of df replace the target's rows of the same key or are added. Several rows of a key raise."""
-        if not df.groupBy(*keys).count().where("count > 1").isEmpty():
+        """Rows of df replace the target's rows of the same key or are added. Several rows of a key raise.
+
+        Only files that hold a key of df are rewritten, and of the others not even the rows are read, just the keys;
+        `rewritten` of the snapshot is their number. Null keys match nothing."""
+        delta = saved(df, "merge-delta")
+        if not delta.groupBy(*keys).count().where("count > 1").isEmpty():
             raise CardinalityViolation(f"source rows repeat a key of {keys}")
         if not self.exists():
-            return self.replace(df)
-        base, _, _ = self._head()
-        kept = self.read().join(df.select(*keys), keys, "left_anti")
-        new, rows = self._write(kept.unionByName(df).select(*df.columns))
-        return self._commit(new, df.schema.json(), rows, "merge", base)
+            return self.replace(delta)
+        base, folders, n = self._head()
+        named = self.read(base).select(*keys, F.input_file_name().alias("_file"))
+        hit = {unquote(r[0]).split(f"{self.path.rsplit('/', 1)[-1]}/data/", 1)[1] for r in named.join(delta.select(*keys), keys, "left_semi").select("_file").distinct().collect()}
+        kept: dict[str, list[str]] = {}
+        touched: list[str] = []
+        uuids = {h.split("/")[0] for h in hit}
+        for place, entries in folders.items():
+            for entry in entries:
+                files = self._paths(entry) if entry.split("/")[1] in uuids else []
+                mine = [f for f in files if f.removeprefix("data/") in hit]
+                touched += mine
+                kept.setdefault(place, []).extend([entry] if not mine else [f for f in files if f not in mine])
+        old = self.spark.read.schema(T.StructType.fromJson(json.loads(self.snapshot(base).schema))).parquet(*[f"{self.path}/{f}" for f in touched]) if touched else None
+        rows = delta if old is None else old.join(delta.select(*keys), keys, "left_anti").select(*delta.columns).unionByName(delta)
+        new, written = self._write(rows)
+        merged = {k: [*kept.get(k, []), *new.get(k, [])] for k in {**kept, **new}}
+        forget(delta)
+        return self._commit({k: v for k, v in merged.items() if v}, df.schema.json(), n - (old.count() if old is not None else 0) + written, "merge", base, len(touched))
 
     def merge_insert(self, df: DataFrame, keys: list[str]) -> Snapshot:
-        """Appends the rows of df whose key the target lacks, one a key; existing rows are never rewritten."""
-        once = df.dropDuplicates(keys)
-        return self.append(once.join(self.read().select(*keys), keys, "left_anti") if self.exists() else once)
+        """Appends the rows of df whose key the target lacks; existing rows are never rewritten. Of several rows of a
+        key the one with the smallest other columns (nulls first) is taken, so that a second run takes the same."""
+        rest = [c for c in df.columns if c not in keys]
+        once = df.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_row")).select(*keys, "_row.*").select(*df.columns) if rest else df.distinct()
+        base, _, _ = self._head()
+        return self.append(once.join(self.read(base).select(*keys), keys, "left_anti") if base else once, base)
 
     # -- maintenance ---------------------------------------------------------------------------------------------
 
@@ -164,7 +217,7 @@ class LakeTable:
         snap = self.snapshot(version)
         for f in sorted(f for fs in (snap.folders if snap else {}).values() for f in fs):
             fs, p = self._fs(f"{self.path}/{f}")
-            out += [(str(s.getPath()), s.getLen()) for s in fs.listStatus(p) if s.getPath().getName().endswith(".parquet")]
+            out += [(str(s.getPath()), s.getLen()) for s in fs.listStatus(p) if s.getPath().getName().endswith(".parquet")]  # of a file: itself
         return out
 
     def compact(self, target_bytes: int = 128 << 20, least_files: int = 5, dry_run: bool = False) -> int:
