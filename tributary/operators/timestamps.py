@@ -144,7 +144,9 @@ def candidates(df: DataFrame, value: str, zone: str, order: str, between: tuple[
         .when(F.col("_f").isNotNull() & (F.col("_f") != "compact"), readings("_us1", FREE, F.lit(0.0)))
         .otherwise(F.concat(readings("_us1", FREE, F.lit(0.0)), F.array(epoch)))
     )
-    kept = F.filter(found, lambda x: x["us"].isNotNull() if between is None else x["us"].between(*between))
+    # Each step a select of its own, so that no expression is computed once for every use of it.
+    out = out.select("*", F.filter(found, lambda x: x["us"].isNotNull() if between is None else x["us"].between(*between)).alias("_kept"))
+    kept = F.col("_kept")
     # One instant by both orders says nothing of the order.
     same = (F.size(kept) == 2) & (F.get(kept, F.lit(0))["us"] == F.get(kept, F.lit(1))["us"])
     single = F.array(F.struct(F.lit(FREE).alias("fmt"), F.lit(0.0).alias("cost"), F.get(kept, F.lit(0))["us"].alias("us")))

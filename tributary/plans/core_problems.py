@@ -165,8 +165,8 @@ def p6_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     the cheapest interpretation of each value by itself get right."""
     times = source_times(spark, sf_dir)
     right = saved(p6_found(spark, sf_dir), "p6-right")
-    alone = candidates(times.withColumn("date_order", F.lit(None).cast("string")), "value", "tz_name", "date_order").where(F.size("candidates") > 1)
-    alone = alone.select(*TIME_KEYS, F.get("candidates", F.lit(0))["us"].alias("cheapest"))
+    alone = saved(candidates(times.withColumn("date_order", F.lit(None).cast("string")), "value", "tz_name", "date_order").drop("value", "origin"), "p6-alone")
+    alone = alone.where(F.size("candidates") > 1).select(*TIME_KEYS, F.get("candidates", F.lit(0))["us"].alias("cheapest"))
     both = alone.join(right, TIME_KEYS).join(p6_undeclared(spark, sf_dir).withColumnRenamed("utc_us", "by_path"), TIME_KEYS)
     hits = lambda c: F.coalesce(F.sum((F.col(c) == F.col("utc_us")).cast("bigint")), F.lit(0))
     return both.agg(F.count(F.lit(1)).alias("ambiguous"), hits("by_path").alias("right_by_path"), hits("cheapest").alias("right_by_cheapest"))
