@@ -45,6 +45,34 @@ def test_against_union_find(spark, name):
     assert got == model(CASES[name])
 
 
+@pytest.mark.parametrize("hot_least", [5, 10**9])
+@pytest.mark.parametrize("rounds", [1, 3])
+def test_hot_vertices_and_rounds_change_nothing(spark, hot_least, rounds):
+    pairs = CASES["star"] + CASES["path"] + CASES["random"] + [("hub", "v000")]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    got = {r.v: r.group_id for r in smallest_names(components(df, rounds=rounds, hot_least=hot_least)).collect()}
+    assert got == model(pairs)
+
+
+def test_a_round_reads_the_edges_once(spark, monkeypatch):
+    """With a hot vertex: what each written frame of a level reads, by the scans of its plan."""
+    from tributary.llm import components as module
+
+    reads = {}
+    saved = module.saved
+
+    def watched(df, label):
+        files = df._jdf.queryExecution().optimizedPlan().toString()
+        reads.setdefault(label, []).append(files.count("ldd-edges") or sum("src#" in x and "dst#" in x and "Relation" in x for x in files.splitlines()))
+        return saved(df, label)
+
+    monkeypatch.setattr(module, "saved", watched)
+    df = spark.createDataFrame(CASES["star"] + CASES["path"], "a string, b string")
+    components(df, rounds=4, hot_least=5).count()
+    # a hot vertex splits one logical read of the edges in two filtered scans, of its edges and of the others'
+    assert len(reads["ldd-labels"]) >= 4 and max(reads["ldd-labels"]) <= 2
+
+
 def test_records(spark):
     rows = [("r1", "b", None), ("r1", "c", None), ("r2", "c", "d"), ("r3", "z", None), ("r3", "z", None), ("r4", None, "a"), ("r5", "d", "a"), (None, "q", "b"), ("r6", None, None)]
     got = {r.record: r.group_id for r in record_groups(spark.createDataFrame(rows, "record string, id string, linked string")).collect()}

@@ -41,3 +41,36 @@ def test_operator(spark):
 @pytest.mark.parametrize("text", [" ".join(["blah"] * 20), " ".join(["tbd"] * 20), NORMAL + "\n" + " ".join(["insert your text here"] * 5)])
 def test_long_filler_without_full_stops(text):
     assert residue_kind(text) == "filler"
+
+
+HELD_OUT = {
+    "page": [
+        "Oops! We were unable to load your account page. Please try again later. Error code: 9f2c.", "This site requires cookies and scripts. Please allow cookies in your browser settings.",
+        "503 Service Unavailable\nNo healthy backend\nRequest ID: 77aa-01", "Diese Seite funktioniert nur mit JavaScript.", "La page demandée est introuvable.", "La tienda no está disponible. Inténtelo más tarde.",
+        'Traceback (most recent call last):\n  File "/srv/app/views.py", line 9, in handler\nKeyError: \'cart\'', "books.example.org sent no data.", NORMAL + "\n\nAccess denied.",
+    ],
+    "filler": [
+        "Lorem ipsum dolor sit amet", "Platzhaltertext", "Insert your headline here", " ".join(["Add a short caption here"] * 12), "Texto de relleno.", "zzzz zzzz xxxx",
+        " ".join("dolore magna aliqua enim minim veniam quis nostrud".split() * 8),
+    ],
+    "placeholder": ["Dear {{ customer.full_name_as_given_in_the_account_form_of_the_third_step_of_registration }},", "Hola *|NOMBRE|*:", "Montant : NaN Le colis est parti.", "Betrag: (null)", "{% greeting %}", "Hi [FIRST NAME]!", "Bonjour %PRENOM%, merci."],
+    None: [
+        "The cafe's page on cookies: ours are baked daily with oats, and no browser is needed to enjoy them.", "Ann said the shop showed 'Access denied' for a minute, then it worked and Ben paid.",
+        "In the template language {{name}} is the placeholder for the customer's name.", "Use [[wiki link]] syntax for pages that mention our suppliers.", "SELECT * FROM t WHERE a = ${A}", "Hi Ann, none of the mugs arrived broken.",
+        "Null Toleranz gilt bei Hygiene.", "The loan was not found to be invalid by the court in Rome, which heard three experts on it.",
+    ],
+}
+
+
+@pytest.mark.parametrize(("kind", "text"), [(k, t) for k, ts in HELD_OUT.items() for t in ts])
+def test_held_out_shops_and_languages(kind, text):
+    assert residue_kind(text) == kind
+
+
+@pytest.mark.parametrize("text", ["{" * 20_000, "%" * 20_000, "[A" * 20_000, "%a " * 20_000, "«a" * 20_000, "null " * 20_000, "not found. " * 20_000, "lorem " * 3 + "x " * 50_000])
+def test_long_texts_take_linear_time(text):
+    import time
+
+    began = time.perf_counter()
+    residue_kind(text)
+    assert time.perf_counter() - began < 3

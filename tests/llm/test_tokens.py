@@ -49,3 +49,38 @@ def test_corpus(spark):
     by = {r.doc_id: r.ids for r in got}
     assert by == {i: want(t) if t else [] for i, t, _ in rows}
     assert tokens.encode_corpus(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_counts_and_hot_chunks(spark, monkeypatch):
+    """Counts are the lengths of the ids, also where joins are forced; a chunk of all documents is spread over groups."""
+    monkeypatch.setattr(tokens, "HOT_CHUNK", 2)
+    rows = [(i, t) for i, t in enumerate(TEXTS)] + [(100, None), (3, TEXTS[3])] + [(200 + i, "a text that all of them share " * 3) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    ids = {r.doc_id: r.ids for r in tokens.encode_corpus(df, longest=64).collect()}
+    want = reference()
+    assert ids == {i: want(t) if t else [] for i, t in rows}
+    assert {r.doc_id: r.n_tokens for r in tokens.encode_corpus(df, longest=64, counts=True).collect()} == {i: len(x) for i, x in ids.items()}
+
+
+def test_hot_chunk_gets_salts():
+    import pyarrow as pa
+
+    class Task:
+        @staticmethod
+        def get():
+            return type("T", (), {"partitionId": staticmethod(lambda: 7)})
+
+    original, tokens.TaskContext = tokens.TaskContext, Task
+    try:
+        b = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array(["same"] * 200)], names=["doc", "text"])
+        out = next(tokens._pieces(iter([b]), 6, 8192)).to_pylist()
+    finally:
+        tokens.TaskContext = original
+    assert {r["salt"] for r in out} == {0, 8} and sum(r["salt"] == 0 for r in out) == tokens.HOT_CHUNK
+    assert [i for i, r in enumerate(out) if r["text"]] == [0, tokens.HOT_CHUNK]
+
+
+def test_reuse(spark):
+    df = spark.createDataFrame([(1, "word " * 500), (2, "word " * 500), (3, None)], "doc_id bigint, text string")
+    r = tokens.chunk_reuse(df).first()
+    assert r.bytes == 5000 and r.distinct_bytes <= 2500

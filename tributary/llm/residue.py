@@ -114,7 +114,9 @@ FRAMES = (
 #: Words of a sentence that speaks about placeholders, verbs that have one as their object, and of code.
 META_WORDS = frozenset("syntax placeholder placeholders variable variables tag tags token tokens field fields column columns template templates platzhalter variablen feld felder syntaxe champ champs balise variables marcador marcadores etiqueta campo campos sintaxis means heißt bedeutet signifie significa".split())
 META_VERBS = frozenset("put write use type insert enter keep leave add replace copy setze setzen schreibe schreiben verwende verwenden mettez écrivez utilisez ponga pon escriba escribe use usa".split())
-CODE_WORDS = re.compile(r"\b(?:SELECT|FROM|WHERE|INSERT|UPDATE|JOIN|SET|echo|export|printf?)\b|[=<>]=?\s*$")
+CODE_WORDS = re.compile(r"\b(?:SELECT|FROM|WHERE|INSERT|UPDATE|JOIN|SET|echo|export|printf?)\b")
+_COMPARED = re.compile(r"[=<>]=?\s*$")
+_INK = re.compile(r"\w")
 
 _ZERO_WIDTH = re.compile("[\u200b\u200c\u200d\u2060\ufeff\u00ad]")
 _TAG = re.compile(r"</?(?:div|p|html|head|title|body|center|h\d|noscript|span|br|b|i|hr|a|td|tr|table|ul|ol|li|strong|em|section|main|header|footer)\b[^<>]*>", re.I)
@@ -248,30 +250,36 @@ def has_filler(low: str, found: dict[str, list[tuple[int, int]]]) -> bool:
     return False
 
 
-def _sentence(text: str, a: int, b: int) -> tuple[str, str]:
-    """What stands before and after text[a:b] in its sentence."""
+def _sentence(text: str, a: int, b: int) -> tuple[int, int]:
+    """Where the sentence around text[a:b] begins and ends."""
     start = max(text.rfind(x, 0, a) for x in ("\n", ". ", "! ", "? "))
     ends = [e for e in (text.find(x, b) for x in ("\n", ". ", "! ", "? ")) if e >= 0]
-    return text[start + 1 : a], text[b : min(ends, default=len(text))]
+    return start + 1, min(ends, default=len(text))
 
 
-def is_explained(before: str, slot: str, after: str) -> bool:
-    """The sentence quotes the slot, has it as the object of an instruction, speaks about such slots, or is code."""
-    if before[-1:] in tuple(_QUOTES) and after[:1] in tuple(_QUOTES):
+def _speaks_of_slots(sentence: str) -> bool:
+    """Words about placeholders, or of code, beside the slots themselves."""
+    bare = SYNTAX.sub(" ", sentence)
+    return bool(META_WORDS.intersection(WORD.findall(bare.lower()))) or bool(CODE_WORDS.search(bare))
+
+
+def is_quoted_or_asked_for(text: str, a: int, b: int) -> bool:
+    """text[a:b] stands in quotes, is the object of an instruction, or is what something is compared with in code."""
+    before = text[max(0, a - 40) : a]
+    if before[-1:] in tuple(_QUOTES) and text[b : b + 1] in tuple(_QUOTES):
         return True
     words = WORD.findall(before.lower())
-    if words and words[-1] in META_VERBS and before[-1:] == " ":
-        return True
-    return bool(META_WORDS.intersection(words) or META_WORDS.intersection(WORD.findall(after.lower()))) or bool(CODE_WORDS.search(before))
+    return bool(words and words[-1] in META_VERBS and before[-1:] == " ") or bool(_COMPARED.search(before))
 
 
 def has_placeholder(text: str, low: str, found: dict[str, list[tuple[int, int]]]) -> bool:
-    """An unfilled placeholder, or a value that a template failed to fill, that is neither quoted nor explained."""
+    """An unfilled placeholder, or a value that a template failed to fill, that is neither quoted nor explained. A slot
+    that no frame announces counts if its syntax has no other use in prose, or if it fills its line."""
     for a, b in found.get("void", []):
         a -= low[a - 1 : a] == "("
         if _FRAMED.search(low[max(0, a - _LONGEST_FRAME) : a]) and _VOID_AFTER.match(text, b):
             return True
-    done = -1
+    done, sentence, explained, line, alone = -1, (0, -1), False, (0, -1), False
     for a, _ in found.get("opener", []):
         m = SYNTAX.match(text, a) if a >= done else None
         if not m:
@@ -279,18 +287,23 @@ def has_placeholder(text: str, low: str, found: dict[str, list[tuple[int, int]]]
         done = m.end()
         if _FRAMED.search(low[max(0, a - _LONGEST_FRAME) : a]):
             return True
-        before, after = _sentence(text, a, done)
-        if not is_explained(before, m.group(), after) and _alone(m.group(), text, a, done):
+        if not m.group().startswith(TEMPLATE_ONLY):
+            if not line[0] <= a < line[1]:
+                end = text.find("\n", done)
+                line = (text.rfind("\n", 0, a) + 1, end if end >= 0 else len(text))
+                alone = not _INK.search(SYNTAX.sub(" ", text[line[0] : line[1]]))
+            if not alone:
+                continue
+        if is_quoted_or_asked_for(text, a, done):
+            continue
+        if not sentence[0] <= a < sentence[1]:
+            sentence = _sentence(text, a, done)
+            explained = _speaks_of_slots(text[sentence[0] : sentence[1]])
+        if not explained:
             return True
     return False
 
 
-def _alone(slot: str, text: str, a: int, b: int) -> bool:
-    """A slot that no frame announces counts if it fills its line, or if its syntax has no other use in prose."""
-    line = text[text.rfind("\n", 0, a) + 1 : a] + text[b : (text.find("\n", b) + len(text) + 1) % (len(text) + 1)]
-    return slot.startswith(TEMPLATE_ONLY) or not re.search(r"\w", line)
-
-
 def residue_kind(text: str | None) -> str | None:
     """placeholder, filler, page, or None for a text that is none of them (also null, empty and blank ones)."""
     if not text or text.isspace():
