@@ -157,9 +157,8 @@ def pivoted(index: DataFrame, sources: list[str]) -> DataFrame:
 
 
 def golden_record(df: DataFrame, key: str, order: list[Column], fields: list[str]) -> DataFrame:
-    """One row a key: per field the first non-null value under `order` (trusted source first)."""
-    rank = F.struct(*order)
-    return df.groupBy(key).agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), rank)).alias(c) for c in fields])
+    """One row a key: per field the first non-null value under `order` (trusted source first), of equals the smallest."""
+    return df.groupBy(key).agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(*order, F.col(c).alias("_value")))).alias(c) for c in fields])
 
 
 def quality(index: DataFrame) -> DataFrame:

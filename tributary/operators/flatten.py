@@ -1,7 +1,8 @@
 """Flattening of nested semi-structured records into related flat tables.
 
-The JVM parses each JSON text once into a typed nested column; from there on nothing is parsed or visited by row.
-Each Arrow batch is flattened over its buffers: the offsets of a list array give the parent index of every child
+The JVM parses each JSON text into a typed nested column, by the shape that its first characters show (an object is
+tried as one record first and as a map of records if it is none). From there on nothing is parsed or visited by row,
+but for leaves nested deeper than the levels that are unrolled in the plan (open_leaves). Each Arrow batch is flattened over its buffers: the offsets of a list array give the parent index of every child
 (list_parent_indices), the child array is the list's own values buffer, and the keys of the parents reach the
 children by a vectorised take.
 """
@@ -44,9 +45,9 @@ def _closed(t: Column) -> Column:
     return F.when(t.rlike(r"(?s)^(\{.*\}|\[.*\]|-?\d+(\.\d+)?([eE][+-]?\d+)?)$"), t)
 
 
-#: Steps to the JSON text of a column: out of up to two string encodings, and null unless it is closed (a text cut
+#: Steps to the JSON text of a column: out of up to four string encodings, and null unless it is closed (a text cut
 #: off in the middle is not closed, and the parser's own failure on it gives null anyway).
-JSON_TEXT = (lambda c: F.regexp_replace(c, r"^\s+|\s+$", ""), _unquoted, _unquoted, _closed)
+JSON_TEXT = (lambda c: F.regexp_replace(c, r"^\s+|\s+$", ""), _unquoted, _unquoted, _unquoted, _unquoted, _closed)
 
 
 def bare_digits(c: Column) -> Column:

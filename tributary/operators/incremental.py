@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import graphlib
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -68,6 +69,56 @@ class TableSpec:
         return (table.merge_upsert if self.write_mode == "merge" else table.merge_insert)(df, list(self.keys))
 
 
+def run(spec: TableSpec, table: LakeTable, read: Callable[[str], DataFrame], mode: str, dry_run: bool = False):
+    """Runs one table: `full` reads all and replaces; `incremental` reads the spec's scope and writes by its mode, or
+    does as `full` for a table that does not exist yet. read gives the source rows of a scope. dry_run: the rows that
+    would be written are returned, and nothing is."""
+    if mode not in ("full", "incremental"):
+        raise ValueError(f"unknown mode {mode!r}")
+    whole = mode == "full" or not table.exists()
+    rows = spec.build(read("all" if whole else spec.read_scope))
+    if dry_run:
+        return rows
+    return table.replace(rows) if whole else spec.write(table, rows)
+
+
+def run_all(specs: list[TableSpec], run_one: Callable[[TableSpec], object], only: list[str] | None = None) -> dict[str, str]:
+    """Runs the specs in order; a table whose dependency failed is skipped, and the others go on. name -> done, failed
+    or skipped. only: these tables alone, taken to depend on nothing that is not among them."""
+    by_name = {s.name: s for s in specs if only is None or s.name in only}
+    outcome: dict[str, str] = {}
+    for name in run_order(list(by_name.values())):
+        if any(outcome.get(d, "done") != "done" for d in by_name[name].depends_on):
+            outcome[name] = "skipped"
+            continue
+        try:
+            run_one(by_name[name])
+            outcome[name] = "done"
+        except Exception:  # noqa: BLE001 - one table's failure is no other's
+            outcome[name] = "failed"
+    return outcome
+
+
+def sql_lineage(statements: dict[str, str]) -> dict[str, set[str]]:
+    """Target -> tables it reads, of SQL statements by name: names after FROM and JOIN that are no common table
+    expressions; the target is the name after INSERT INTO or TABLE, else the statement's."""
+    out = {}
+    for name, text in statements.items():
+        words = re.findall(r"[A-Za-z_][\w.]*|[(),]", re.sub(r"--[^\n]*|'(?:[^']|'')*'", " ", text))
+        upper = [w.upper() for w in words]
+        ctes = {words[i - 1].lower() for i in range(1, len(words) - 1) if upper[i] == "AS" and words[i + 1] == "("}
+        reads = {words[i + 1] for i in range(len(words) - 1) if upper[i] in ("FROM", "JOIN") and words[i + 1] != "("}
+        target = next((words[i + 1] for i in range(len(words) - 1) if upper[i] in ("INTO", "TABLE") and upper[i + 1] not in ("IF",)), name)
+        out[target] = {r for r in reads if r.lower() not in ctes and r != target}
+    return out
+
+
+def sql_order(statements: dict[str, str]) -> list[str]:
+    """Targets of SQL statements in an order in which every one follows what it reads; a cycle raises."""
+    lineage = sql_lineage(statements)
+    return [n for n in graphlib.TopologicalSorter({t: {r for r in reads if r in lineage} for t, reads in lineage.items()}).static_order()]
+
+
 def run_order(specs: list[TableSpec]) -> list[str]:
     """Names in an order in which every table follows what it depends on; a cycle raises."""
     return [n for n in graphlib.TopologicalSorter({s.name: set(s.depends_on) for s in specs}).static_order() if n in {s.name for s in specs}]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -101,8 +103,10 @@ def message_rows(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def message_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The keys of all tables' messages with COPIES, from their stores."""
-    parts = [message_rows(spark, sf_dir, n).select(F.lit(n).alias("table_name"), *MESSAGE_KEYS, COPIES) for n in MESSAGES]
+    """The keys of all tables' messages with COPIES, from their stores, which are filled side by side."""
+    with ThreadPoolExecutor(len(MESSAGES)) as pool:
+        stores = list(pool.map(lambda n: message_rows(spark, sf_dir, n), MESSAGES))
+    parts = [rows.select(F.lit(n).alias("table_name"), *MESSAGE_KEYS, COPIES) for n, rows in zip(MESSAGES, stores, strict=True)]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tributary.plans import core_problems as core
-from tributary.plans import core_sql, entities, entities_sql, serving, serving_sql, staged, staged_sql, tables, tables_sql
+from tributary.plans import core_sql, entities, entities_sql, serving, serving_sql, staged, staged_sql, streams, tables, tables_sql
 from tributary.session import Query
 
 FLAGSHIP = "order_summary"
@@ -24,6 +24,7 @@ QUERIES: dict[str, Query] = {
     **staged.QUERIES,
     **entities.QUERIES,
     **serving.QUERIES,
+    **streams.QUERIES,
 }
 
-ORACLE: dict[str, str] = {**core_sql.ORACLE, **tables_sql.ORACLE, **staged_sql.ORACLE, **entities_sql.ORACLE, **serving_sql.ORACLE}
+ORACLE: dict[str, str] = {**core_sql.ORACLE, **tables_sql.ORACLE, **staged_sql.ORACLE, **entities_sql.ORACLE, **serving_sql.ORACLE, **streams.ORACLE}

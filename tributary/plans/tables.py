@@ -124,9 +124,8 @@ def engagement_by_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with their session's ends: how often a kind of event was an entrance or an exit."""
     e = windows.with_sessions(table(spark, sf_dir, "events"), "user_id", "ts", SIX_HOURS, "event_id")
-    w = Window.partitionBy("user_id", "sess_num")
-    order = ["ts", "event_id"]
-    e = e.withColumn("_first", F.row_number().over(w.orderBy(*order)) == 1).withColumn("_last", F.row_number().over(w.orderBy(F.desc("ts"), F.desc("event_id"))) == 1)
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = e.withColumn("_first", ~F.col("sess_num").eqNullSafe(F.lag("sess_num").over(w))).withColumn("_last", ~F.col("sess_num").eqNullSafe(F.lead("sess_num").over(w)))
     entrances, exits = F.sum(F.col("_first").cast("bigint")), F.sum(F.col("_last").cast("bigint"))
     return e.groupBy(F.to_date("ts").alias("event_date"), "event_type").agg(F.count(F.lit(1)).alias("events"), entrances.alias("entrances"), exits.alias("exits"), rate(exits, F.count(F.lit(1))).alias("exit_rate"))
 
@@ -240,10 +239,11 @@ def entity_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def golden_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a customer of core_customers: per field the first value, matched best and latest first."""
+    """One row a customer of core_customers: per field the first value, matched best and latest first, of equals the
+    smallest."""
     fields = ["city", "country_code", "company", "job_title", "currency"]
-    order = [-F.coalesce(F.col("match_confidence"), F.lit(0)).cast("double"), -F.unix_micros("updated_at"), F.md5(F.to_json(F.struct(*fields, "email_token", "first_name_token", "last_name_token")))]
-    return entity.golden_record(table(spark, sf_dir, "core_customers"), "customer_id", order, fields)
+    order = [-F.coalesce(F.col("match_confidence"), F.lit(0)).cast("double"), -F.unix_micros("updated_at")]
+    return entity.golden_record(table(spark, sf_dir, "core_customers").where("customer_id is not null"), "customer_id", order, fields)
 
 
 def json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -333,13 +333,12 @@ def stream_raw_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events by day and kind from a stream in complete mode."""
+    """Events by day and kind from a stream in complete mode, into a table of the store."""
     at, schema = _event_files(spark, sf_dir)
-    name = "w" + scratch(spark, "x").rsplit("-", 1)[-1]
     stream = spark.readStream.schema(schema).json(at).withColumn("ts", F.to_timestamp("ts"))
-    counts = jobs.window_counts(stream, "ts", "1 day", "1 hour", "event_type")
-    counts.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", scratch(spark, "check")).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select(F.to_date("window_start").alias("event_date"), "event_type", "events")
+    t = LakeTable(spark, scratch(spark, "window-counts"))
+    jobs.replaced(jobs.window_counts(stream, "ts", "1 day", "1 hour", "event_type"), t, scratch(spark, "check")).awaitTermination()
+    return t.read().select(F.to_date("window_start").alias("event_date"), "event_type", "events")
 
 
 def bench_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -406,9 +405,9 @@ def staged_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def staged_subscribers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """mailchimp_subscribers staged, the latest load of each."""
+    """mailchimp_subscribers staged: the columns of the latest load of each."""
     out, _ = staging.stage(table(spark, sf_dir, "mailchimp_subscribers"), staging.SPECS["mailchimp_subscribers"], PEPPER)
-    return out.groupBy("subscriber_id_token").agg(F.max(F.unix_micros("_loaded_at")).alias("loaded_us"), F.count(F.lit(1)).alias("rows"))
+    return out.select("subscriber_id_token", "email_token", "has_sms", F.unix_micros("_loaded_at").alias("loaded_us"), F.unix_micros("last_changed").alias("changed_us"), F.unix_micros("signup_timestamp").alias("signup_us"))
 
 
 NAMES = [

@@ -56,6 +56,13 @@ _GOLD = ", ".join(
     for c in ("city", "country_code", "company", "job_title", "currency")
 )
 
+_PREFIX = "CASE WHEN left(a, 1) <> left(b, 1) THEN 0 WHEN left(a, 2) <> left(b, 2) THEN 1 WHEN left(a, 3) <> left(b, 3) THEN 2 WHEN left(a, 4) <> left(b, 4) THEN 3 ELSE 4 END"
+_FUZZY = f"""
+WITH p AS ({_PROFILES}), c AS (SELECT DISTINCT l.source_id AS l_id, r.source_id AS r_id, lower(l.name) AS a, lower(r.name) AS b, l.email_token AS x, r.email_token AS y FROM p l JOIN p r ON l.source = 'supplier' AND r.source = 'customer'
+  AND (l.email_token = r.email_token OR (l.nation = r.nation AND right(l.name, 3) = right(r.name, 3)))),
+t AS (SELECT *, round(0.7 * (jaro_similarity(a, b) + {_PREFIX} * 0.1 * (1 - jaro_similarity(a, b))) + 0.3 * (1 - levenshtein(x, y) / greatest(length(x), length(y))), 6) AS score FROM c)
+SELECT l_id, arg_min(r_id, (-score, r_id)) AS r_id, max(score) AS score FROM t WHERE score >= 0.5 GROUP BY 1"""
+
 _PHONE = "CASE WHEN length(regexp_replace(phone, '[^0-9+]', '', 'g')) >= 7 THEN regexp_replace(phone, '[^0-9+]', '', 'g') END"
 
 
@@ -117,6 +124,9 @@ SELECT d.*, top_channel, round(avg(sessions) OVER (ORDER BY session_date ROWS 6
     "summing_merge": "SELECT source_table, status, sum(records_processed) AS records, sum(bytes_processed) AS bytes FROM incremental_watermarks GROUP BY 1, 2",
     "median_value": "SELECT event_type, round(median(value), 4) AS median_value FROM events GROUP BY 1",
     "staged_customers": f"SELECT CAST(id AS VARCHAR) AS customer_id, {_tok('email', _low('email'))} AS email_token, {_tok('phone', _PHONE)} AS phone_token, coalesce(CASE WHEN json_valid(addresses) AND json_type(addresses) = 'ARRAY' THEN json_array_length(addresses) END, 0) AS address_count, total_spent, epoch_us(updated_at) AS updated_us, _webhook_topic FROM shopify_customers",
-    "staged_subscribers": f"SELECT {_tok('mailchimp_id', _low('subscriber_id'))} AS subscriber_id_token, max(epoch_us(_loaded_at)) AS loaded_us, 1 AS rows FROM mailchimp_subscribers GROUP BY 1",
+    "staged_subscribers": f"""SELECT {_tok('mailchimp_id', _low('subscriber_id'))} AS subscriber_id_token, CASE WHEN {_low('email_address')} IS NOT NULL THEN {_tok('email', _low('email_address'))} END AS email_token, coalesce(sms_status = 'subscribed', false) AS has_sms,
+epoch_us(_loaded_at) AS loaded_us, epoch_us(last_changed) AS changed_us, epoch_us(timestamp_signup) AS signup_us FROM (SELECT *, row_number() OVER (PARTITION BY {_low('subscriber_id')} ORDER BY _loaded_at DESC NULLS LAST, last_changed DESC NULLS LAST) AS rn FROM mailchimp_subscribers) WHERE rn = 1""",
+    "golden_customers": f"SELECT customer_id, {_GOLD} FROM core_customers WHERE customer_id IS NOT NULL GROUP BY 1",
+    "entity_fuzzy": _FUZZY,
     "coverage": f"SELECT coalesce(source, 'unknown') AS source, count(*) AS rows, {_rate('sum((match_type <> $$new_entity$$)::BIGINT)', 'count(*)')} AS matched_rate FROM entity_index GROUP BY 1",
 }
