@@ -69,8 +69,9 @@ def test_a_round_reads_the_edges_once(spark, monkeypatch):
     monkeypatch.setattr(module, "saved", watched)
     df = spark.createDataFrame(CASES["star"] + CASES["path"], "a string, b string")
     components(df, rounds=4, hot_least=5).count()
-    # a hot vertex splits one logical read of the edges in two filtered scans, of its edges and of the others'
-    assert len(reads["ldd-labels"]) >= 4 and max(reads["ldd-labels"]) <= 2
+    # A hot vertex splits one logical read of the edges in two filtered scans, of its edges and of the others'. The
+    # last levels are too small for a hot vertex; there the first two rounds are one plan, whose labels are read twice.
+    assert reads["ldd-labels"][:4] == [1, 2, 2, 2] and max(reads["ldd-labels"]) <= 3
 
 
 def test_records(spark):

@@ -88,11 +88,12 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b", rounds: int = ROUND
     HOT_SHARE hot vertices reaches the driver; every level is written to the shared folder, so a lost executor costs
     one round at most."""
     ends = pairs.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
-    ends = saved(ends.distinct(), "ldd-pairs")
+    ends, n = saved_rows(ends.distinct(), "ldd-pairs")
     vertices = saved(ends.select(F.explode(F.array("a", "b")).alias("v")).distinct().select("v", _number().alias("n")), "ldd-vertices")
     numbered = ends.where("a <> b")
-    for end, n in (("a", "src"), ("b", "dst")):
-        numbered = lookup_join(numbered, vertices.select(F.col("v").alias(end), F.col("n").alias(n)), end, "inner", least=hot_least)
+    for end, number in (("a", "src"), ("b", "dst")):
+        of_end = vertices.select(F.col("v").alias(end), F.col("n").alias(number))
+        numbered = lookup_join(numbered, of_end, end, "inner", least=hot_least) if n >= hot_least else numbered.join(of_end, end)
     edges, n = saved_rows(numbered.select(F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("e")).select("e.*").distinct(), "ldd-edges")
     levels: list[DataFrame] = []
     large: list[bool] = []

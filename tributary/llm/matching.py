@@ -289,10 +289,10 @@ def _split(p: DataFrame, forms: Forms, side: str) -> DataFrame:
     return rows.select("key", "x.form", F.col("id").alias(f"{side}_id"), F.col("done").alias(f"{side}_done"), F.col("x.spelt").alias(f"{side}_spelt"))
 
 
-def _resolved(pairs: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
-    """(a_id, b_id, rule) of pairs with both sides' PARTS for which a rule holds."""
+def _resolved(pairs: DataFrame, rules: list[tuple[str, str]], names: dict[str, Column]) -> DataFrame:
+    """(a_id, b_id, rule) of pairs with both sides' PARTS for which a rule holds. names: name_columns()."""
     rule = F.coalesce(*[F.when(F.expr(condition), F.lit(name)) for name, condition in rules])
-    said = pairs.select("a_id", "b_id", "a_emails", "b_emails", *[e.alias(n) for n, e in name_columns().items()])
+    said = pairs.select("a_id", "b_id", "a_emails", "b_emails", *[e.alias(n) for n, e in names.items()])
     return said.select("a_id", "b_id", F.explode(F.filter(F.array(rule), lambda r: r.isNotNull())).alias("rule"))
 
 
@@ -305,6 +305,7 @@ def cascade(a: DataFrame, b: DataFrame, passes=PASSES, forms=FORMS, hot_pairs: i
     nothing; empty tables give an empty result."""
     hot, n_hot = _hot(a, b, passes, hot_pairs)
     met_anew = (F.col("a_id") < F.col("b_id")) if one_source else ~(F.col("a_done") & F.col("b_done"))
+    names = name_columns()  # once: it takes longer to build than a small pass to run
     found: list[DataFrame] = []
     done: dict[str, DataFrame | None] = {"a": None, "b": None}
     for i, (keys, rules) in enumerate(passes):
@@ -315,14 +316,14 @@ def cascade(a: DataFrame, b: DataFrame, passes=PASSES, forms=FORMS, hot_pairs: i
         cold, of_pass = rows, hot.where(F.col("pass") == i).select("key")
         if n_hot:
             cold = {s: r.join(of_pass, "key", "left_anti") for s, r in rows.items()}
-        new = _resolved(_side(cold["a"], "a").join(_side(cold["b"], "b"), "key").where(met_anew), rules)
+        new = _resolved(_side(cold["a"], "a").join(_side(cold["b"], "b"), "key").where(met_anew), rules, names)
         if n_hot:
             warm = {s: _split(r.join(of_pass, "key", "left_semi"), forms[keys](s), s) for s, r in rows.items()}
             met = warm["a"].join(warm["b"], ["key", "form"]).where(met_anew & F.expr("a_spelt is null or b_spelt is null or a_spelt <> b_spelt"))
             pairs = met.select("a_id", "b_id").distinct()
             for s, p in (("a", a), ("b", b)):
                 pairs = pairs.join(p.select(*[F.col(c).alias(f"{s}_{c}") for c in ("id", *PARTS)]), f"{s}_id")
-            new = new.unionByName(_resolved(pairs, rules))
+            new = new.unionByName(_resolved(pairs, rules, names))
         new = saved(new.distinct(), "match-pass")
         found.append(new)
         if len(found) < len(passes):
@@ -344,7 +345,7 @@ def persons(profiles: DataFrame, hot_pairs: int = HOT_PAIRS) -> tuple[DataFrame,
     contacts = "concat(transform(emails, e -> concat(left(id, 1), 'e', e)), transform(phones, e -> concat(left(id, 1), 'p', e)))"
     named = profiles.where((F.size("full") > 0) & (F.size("lasts") > 0))
     keyed = _keys(named, contacts, "id", "firsts", "full", "lasts").withColumn("class", F.md5(F.to_json(F.struct("key", "full", "lasts"))))
-    keyed = saved(keyed, "match-contacts")
+    keyed, n_keyed = saved_rows(keyed, "match-contacts")
     classes = keyed.groupBy("class", "key", "firsts", "full", "lasts").agg(F.count(F.lit(1)).alias("n"))
     classes = saved(classes, "match-classes")
     several = classes.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key")
@@ -353,7 +354,8 @@ def persons(profiles: DataFrame, hot_pairs: int = HOT_PAIRS) -> tuple[DataFrame,
     ties = cascade(*[saved(meeting, "match-meeting")] * 2, WITHIN, WITHIN_FORMS, hot_pairs, one_source=True)
     tied = ties.select(F.explode(F.array("a_id", "b_id")).alias("class"))
     live = classes.where("n > 1").select("class").unionByName(tied).distinct()
-    stars = lookup_join(keyed.select("class", "id"), live, "class", "inner", least=HOT_LEAST)
+    stars = keyed.select("class", "id")
+    stars = lookup_join(stars, live, "class", "inner", least=HOT_LEAST) if n_keyed >= HOT_LEAST else stars.join(live, "class")
     links = stars.select(F.col("class").alias("a"), F.concat(F.lit("#"), "id").alias("b")).unionByName(ties.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
     groups = components(links).where("v like '#%'").select(F.expr("substring(v, 2)").alias("id"), F.concat(F.substring("v", 2, 1), F.lit("*"), F.col("root").cast("string")).alias("person"))
     members = saved(profiles.join(groups, "id", "left"), "match-members")
