@@ -36,6 +36,18 @@ def test_failures_stay_with_their_own():
     assert run_all(specs, lambda s: None, only=["d"]) == {"d": "done"}
 
 
+def test_rebuild(spark, tmp_path):
+    from tributary.operators.incremental import rebuild
+
+    tables = {n: LakeTable(spark, f"file://{tmp_path}/{n}") for n in "ab"}
+    specs = [TableSpec("b", lambda df: df, "all", "replace", depends_on=("a",)), TableSpec("a", lambda df: df, "all", "replace")]
+    one = lambda s: run(s, tables[s.name], lambda scope: spark.range(2) if s.name == "a" else tables["a"].read(), "full")
+    assert run_all(specs, one) == {"a": "done", "b": "done"} and run_all(specs, one)["b"] == "done"
+    assert len(tables["b"].versions()) == 2
+    assert rebuild(specs, tables, one) == {"a": "done", "b": "done"}
+    assert len(tables["b"].versions()) == 1 and tables["b"].read().count() == 2
+
+
 def test_lineage_of_sql():
     sql = {
         "one": "INSERT INTO core.c WITH x AS (SELECT * FROM stg.a) SELECT * FROM x JOIN stg.b ON x.i = b.i -- FROM no.table",

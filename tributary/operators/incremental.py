@@ -99,6 +99,13 @@ def run_all(specs: list[TableSpec], run_one: Callable[[TableSpec], object], only
     return outcome
 
 
+def rebuild(specs: list[TableSpec], tables: dict[str, LakeTable], run_one: Callable[[TableSpec], object]) -> dict[str, str]:
+    """Purges the tables, those that depend on others first, and runs all of them anew."""
+    for name in reversed(run_order(specs)):
+        tables[name].purge()
+    return run_all(specs, run_one)
+
+
 def sql_lineage(statements: dict[str, str]) -> dict[str, set[str]]:
     """Target -> tables it reads, of SQL statements by name: names after FROM and JOIN that are no common table
     expressions; the target is the name after INSERT INTO or TABLE, else the statement's."""

@@ -1,6 +1,6 @@
 """The entity pipeline after exact matching, on customers and suppliers as two sources of people.
 
-Customers and four of five suppliers are in the index; the other suppliers are matched to its entities by blocking and a fuzzy score, and those
+Customers and the suppliers with an e-mail are in the index; the other suppliers are matched to its entities by blocking and a fuzzy score, and those
 without a match become entities of their own. The blocking index, one row an entity and orders with their unified
 customer follow from the index."""
 
@@ -41,8 +41,8 @@ def people(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def known_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The index before this run: all customers, and the suppliers that were staged by then."""
-    return entity.resolve_exact(people(spark, sf_dir).where("source = 'customer' or staged_at % 5 <> 0"))
+    """The index before this run: all customers, and the suppliers with an e-mail."""
+    return entity.resolve_exact(people(spark, sf_dir).where("source = 'customer' or trim(email_token) <> ''"))
 
 
 def entity_unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,15 +26,15 @@ CASE WHEN {k} % 4 = 0 THEN 'tok' || ({k} % 1000) ELSE 'short' END AS phone_token
 
 PEOPLE = f"{_source('customer', 'c_custkey', 'c_nationkey')} UNION ALL {_source('supplier', 's_suppkey', 's_nationkey')}"
 INDEX = f"""SELECT unified_id, source, source_id, CASE WHEN row_number() OVER (PARTITION BY unified_id ORDER BY staged_at, source, source_id) = 1 THEN 'new_entity' ELSE 'exact_email' END AS match_type
-FROM (SELECT *, 'U-' || substr(sha256(CASE WHEN trim(email_token) = '' THEN source || '|' || source_id ELSE trim(email_token) END), 1, 32) AS unified_id FROM ({PEOPLE}) WHERE source = 'customer' OR staged_at % 5 <> 0)"""
+FROM (SELECT *, 'U-' || substr(sha256(CASE WHEN trim(email_token) = '' THEN source || '|' || source_id ELSE trim(email_token) END), 1, 32) AS unified_id FROM ({PEOPLE}) WHERE source = 'customer' OR trim(email_token) <> '')"""
 _PREFIX = "CASE WHEN left(a, 1) <> left(b, 1) THEN 0 WHEN left(a, 2) <> left(b, 2) THEN 1 WHEN left(a, 3) <> left(b, 3) THEN 2 WHEN left(a, 4) <> left(b, 4) THEN 3 ELSE 4 END"
 _PIVOT = f"SELECT unified_id, max(source_id) FILTER (WHERE source = 'customer') AS customer_id, max(source_id) FILTER (WHERE source = 'supplier') AS supplier_id, count(DISTINCT source) AS source_count FROM ({INDEX}) GROUP BY 1"
 
 ORACLE = {
-    "entity_unresolved": f"SELECT source, source_id FROM ({PEOPLE}) WHERE source = 'supplier' AND staged_at % 5 = 0",
+    "entity_unresolved": f"SELECT source, source_id FROM ({PEOPLE}) WHERE source = 'supplier' AND trim(email_token) = ''",
     "entity_existing": f"SELECT DISTINCT unified_id, upper(full_name[1]) || full_name[2:4] || upper(full_name[5]) || full_name[6:] AS full_name, zip, {_address('address')} AS address FROM ({INDEX}) JOIN ({PEOPLE}) USING (source, source_id)",
     "fuzzy_by_zip": f"""WITH p AS (SELECT *, source || ':' || source_id AS record, {_address('address')} AS addr FROM ({PEOPLE})), i AS ({INDEX}),
-c AS (SELECT l.record AS l_id, r.record AS r_id, i.unified_id, l.full_name AS a, r.full_name AS b, l.addr AS x, r.addr AS y FROM p l JOIN p r ON l.zip = r.zip AND l.source = 'supplier' AND l.staged_at % 5 = 0 JOIN i ON i.source = r.source AND i.source_id = r.source_id),
+c AS (SELECT l.record AS l_id, r.record AS r_id, i.unified_id, l.full_name AS a, r.full_name AS b, l.addr AS x, r.addr AS y FROM p l JOIN p r ON l.zip = r.zip AND l.source = 'supplier' AND trim(l.email_token) = '' JOIN i ON i.source = r.source AND i.source_id = r.source_id),
 j AS (SELECT *, jaro_similarity(a, b) AS j, 1 - levenshtein(x, y) / greatest(length(x), length(y)) AS s, {_PREFIX} AS n FROM c),
 t AS (SELECT *, round(0.7 * (j + n * 0.1 * (1 - j)) + 0.3 * s, 6) AS score FROM j)
 SELECT l_id, arg_min(unified_id, (-score, r_id)) AS unified_id, arg_min(r_id, (-score, r_id)) AS matched_id, max(score) AS score FROM t WHERE score >= {THRESHOLD} GROUP BY 1""",

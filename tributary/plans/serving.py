@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tributary.functions import metrics
 from tributary.functions.exprs import money, rate
 from tributary.operators import pii, quality, staging
+from tributary.operators.windows import latest_per_key
 from tributary.plans import staged, tables
 from tributary.plans.tables import PEPPER
 from tributary.session import saved, scratch, table
@@ -85,6 +86,28 @@ def panel_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def daily_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a day of orders, with what payments, e-mail events, sessions and generated visits say of that day; every
+    side is one row a day before its join."""
+    orders = tables._daily_sales(spark, sf_dir).select(F.col("order_date").alias("day"), "orders", "revenue")
+    paid = staged.payments_daily(spark, sf_dir).select(F.col("payment_date").alias("day"), "charges", "captured")
+    mail = staged._staged_email_events(spark, sf_dir).groupBy(F.col("event_date").alias("day")).agg(F.count(F.lit(1)).alias("mails"))
+    seen = tables.engagement_daily(spark, sf_dir).select(F.col("session_date").alias("day"), "sessions")
+    raw = table(spark, sf_dir, "events").where("event_type = 'error'").groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("errors"))
+    out = orders
+    for side in (paid, mail, seen, raw):
+        out = out.join(side, "day", "left")
+    return out.fillna(0, ["charges", "captured", "mails", "sessions", "errors"])
+
+
+def subscribers_over_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest state of each subscriber over two staged batches, the second of which holds late and newer loads."""
+    s = table(spark, sf_dir, "mailchimp_subscribers")
+    batches = [staging.stage(s.where(c), staging.SPECS["mailchimp_subscribers"], PEPPER)[0].withColumn("batch", F.lit(i)) for i, c in enumerate(("_webhook_event_type <> 'profile' or _webhook_event_type is null", "_webhook_event_type = 'profile'"))]
+    both = batches[0].unionByName(batches[1]).select("subscriber_id_token", "has_sms", F.unix_micros("_loaded_at").alias("loaded_us"), F.unix_micros("last_changed").alias("changed_us"))
+    return latest_per_key(both, ["subscriber_id_token"], ["loaded_us", "changed_us"])
+
+
 def panel_top_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.customer_metrics(spark, sf_dir).select("c_custkey", "orders", "total_spent").orderBy(F.desc_nulls_last("total_spent"), "c_custkey").limit(100)
 
@@ -219,7 +242,7 @@ def batch_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 NAMES = [
-    "revenue_hourly", "segment_summary", "card_performance", "engagement_trend", "traffic_performance", "exit_performance", "panel_totals", "panel_top_customers", "panel_sales", "panel_pages", "panel_funnel",
+    "revenue_hourly", "segment_summary", "card_performance", "engagement_trend", "traffic_performance", "exit_performance", "panel_totals", "daily_overview", "subscribers_over_batches", "panel_top_customers", "panel_sales", "panel_pages", "panel_funnel",
     "orders_in_range", "empty_like", "retained_events", "view_counts", "file_formats", "generated_overlap", "quality_report", "natural_key_duplicates", "vault_classes", "table_metrics", "entity_gauges", "pii_gauges", "alerts",
     "consumer_lag", "batch_stats",
 ]

@@ -2,7 +2,7 @@
 
 from tributary.plans.staged_sql import _CHARGES, _CONTACTS
 from tributary.plans.tables_sql import ORACLE as T
-from tributary.plans.tables_sql import _P, _S6, _rate
+from tributary.plans.tables_sql import _DAILY, _P, _S6, _rate
 
 _AS_OF = "DATE '2024-01-20'"
 _RECENT = f"SELECT *, CAST(session_start AS DATE) AS session_date FROM ({_S6})"
@@ -44,6 +44,10 @@ ORACLE = {
         _panels(T["campaign_metrics"], campaign_days="count(*)", mean_click_rate="round(avg(click_rate), 6)", mean_purchase_rate="round(avg(purchase_rate), 6)"),
         _panels(T["engagement_daily"], sessions="sum(sessions)", daily_users="sum(users)", mean_engagement="round(avg(engagement_rate), 6)", mean_bounce="round(avg(bounce_rate), 6)"),
     ]),
+    "daily_overview": f"""WITH o AS ({_DAILY}), p AS (SELECT CAST(make_timestamp(created_us) AS DATE) AS day, count(*) AS charges, {_CAPTURED} AS captured FROM ({_CHARGES}) GROUP BY 1), m AS (SELECT CAST(ts AS DATE) AS day, count(*) AS mails, count(*) FILTER (WHERE event_type = 'error') AS errors FROM events GROUP BY 1),
+s AS (SELECT CAST(session_start AS DATE) AS day, count(*) AS sessions FROM ({_S6}) GROUP BY 1)
+SELECT order_date AS day, orders, revenue, coalesce(charges, 0) AS charges, coalesce(captured, 0) AS captured, coalesce(mails, 0) AS mails, coalesce(sessions, 0) AS sessions, coalesce(errors, 0) AS errors FROM o LEFT JOIN p ON p.day = order_date LEFT JOIN m ON m.day = order_date LEFT JOIN s ON s.day = order_date""",
+    "subscribers_over_batches": f"SELECT subscriber_id_token, has_sms, loaded_us, changed_us FROM ({T['staged_subscribers']})",
     "panel_top_customers": f"SELECT c_custkey, orders, total_spent FROM ({T['customer_metrics']}) ORDER BY total_spent DESC NULLS LAST, c_custkey LIMIT 100",
     "panel_sales": f"SELECT order_date, day_name, revenue, orders, customers FROM ({T['sales_dashboard']}) ORDER BY order_date DESC LIMIT 30",
     "panel_pages": f"SELECT event_type, sum(events) AS events, sum(entrances) AS entrances, round(avg(exit_rate), 6) AS mean_exit_rate FROM ({T['page_performance']}) GROUP BY 1 ORDER BY events DESC, event_type LIMIT 20",

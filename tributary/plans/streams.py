@@ -10,7 +10,7 @@ from tributary.operators.incremental import TableSpec, run
 from tributary.plans.entities import people
 from tributary.plans.entities_sql import PEOPLE
 from tributary.plans.tables import _event_files, _orders
-from tributary.session import scratch
+from tributary.session import scratch, table
 from tributary.sources import scans
 from tributary.sources.lake import LakeTable
 from tributary.streaming import jobs
@@ -56,6 +56,15 @@ def stream_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.col("dt").cast("date").alias("event_date")).agg(F.count("payload").alias("rows"))
 
 
+def stream_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a stream with their user's segment, looked up in a table of the store as each micro-batch runs."""
+    at, schema = _event_files(spark, sf_dir)
+    out, users = scratch(spark, "looked-up"), LakeTable(spark, scratch(spark, "users"))
+    users.replace(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), "c_mktsegment"))
+    jobs.looked_up(spark.readStream.schema(schema).json(at), users, "user_id", out, scratch(spark, "check")).awaitTermination()
+    return spark.read.parquet(out).select("event_id", "user_id", "c_mktsegment")
+
+
 def dispatch_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly revenue: a full run over two thirds of the orders, an incremental one over the months the rest touches,
     and a dry run that writes nothing."""
@@ -69,7 +78,7 @@ def dispatch_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.read().withColumn("versions", F.lit(len(t.versions())))
 
 
-NAMES = ["stream_sessions", "stream_resolved", "stream_keys", "stream_rolling", "dispatch_modes"]
+NAMES = ["stream_sessions", "stream_resolved", "stream_keys", "stream_rolling", "stream_lookup", "dispatch_modes"]
 QUERIES = {n: globals()[n] for n in NAMES}
 
 _UID = "'U-' || substr(sha256(CASE WHEN trim(email_token) = '' THEN source || '|' || source_id ELSE trim(email_token) END), 1, 32)"
@@ -79,5 +88,6 @@ SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDI
     "stream_resolved": f"SELECT {_UID} AS unified_id, source, source_id FROM ({PEOPLE})",
     "stream_keys": f"SELECT DISTINCT 'email:' || trim(email_token) AS blocking_key, 'email' AS blocking_key_type, {_UID} AS unified_id FROM ({PEOPLE}) WHERE trim(email_token) <> '' UNION SELECT 'phone:' || phone_token, 'phone', {_UID} FROM ({PEOPLE}) WHERE length(phone_token) >= 7",
     "stream_rolling": "SELECT CAST(ts AS DATE) AS event_date, count(*) AS rows FROM events GROUP BY 1",
+    "stream_lookup": "SELECT event_id, user_id, c_mktsegment FROM events LEFT JOIN customer ON c_custkey = user_id",
     "dispatch_modes": "SELECT strftime(o_orderdate, '%Y-%m') AS month_key, count(*) AS orders, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS revenue, 2 AS versions FROM orders GROUP BY 1",
 }

@@ -16,6 +16,7 @@ from tributary.session import saved, scratch, table
 from tributary.streaming import jobs
 
 AS_OF = datetime.date(2001, 8, 1)
+#: The pepper of these queries over test tables; the operators take their own as a parameter.
 PEPPER = "pepper-of-the-tests"
 SIX_HOURS = 6 * 3600
 

@@ -220,6 +220,10 @@ class LakeTable:
             out += [(str(s.getPath()), s.getLen()) for s in fs.listStatus(p) if s.getPath().getName().endswith(".parquet")]  # of a file: itself
         return out
 
+    def file_rows(self, version: int | None = None) -> DataFrame:
+        """(path, rows) of the data files of a version, counted from their footers."""
+        return self.read(version).groupBy(F.input_file_name().alias("path")).agg(F.count(F.lit(1)).alias("rows"))
+
     def compact(self, target_bytes: int = 128 << 20, least_files: int = 5, dry_run: bool = False) -> int:
         """Rewrites the table in files of about target_bytes; skipped (0) below least_files. Files saved."""
         files = self.files()

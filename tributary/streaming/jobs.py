@@ -71,6 +71,16 @@ def united(*streams: DataFrame) -> DataFrame:
     return out
 
 
+def looked_up(stream: DataFrame, table: LakeTable, key: str, path: str, checkpoint: str) -> StreamingQuery:
+    """Rows of a stream with the columns that a table of the store has for their key when their micro-batch runs; nulls
+    where it has none. The table has one row a key. A batch that is run again overwrites its own rows."""
+
+    def batch(df: DataFrame, epoch: int) -> None:
+        df.join(table.read(), key, "left").write.mode("overwrite").parquet(f"{path}/batch={epoch}")
+
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 LEAST_PHONE = 7
 
 
