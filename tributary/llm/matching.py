@@ -10,6 +10,8 @@ precision on pairs with labels, smoothed. Pairs of persons are expanded by membe
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -146,6 +148,12 @@ def name_columns() -> dict[str, Column]:
     }
 
 
+@lru_cache(maxsize=1)
+def _names_of(application: str) -> dict[str, Column]:
+    """name_columns(), built once an application: that takes longer than a small pass runs."""
+    return name_columns()
+
+
 #: SQL of the numbers in the local parts of a profile's e-mails.
 NUMBERS = r"filter(transform(emails, e -> regexp_extract(e, r'^[^@]*?(\d{3,})[^@]*@', 1)), n -> n <> '')"
 _LAST = "(last_agrees or last_unknown)"
@@ -305,7 +313,7 @@ def cascade(a: DataFrame, b: DataFrame, passes=PASSES, forms=FORMS, hot_pairs: i
     nothing; empty tables give an empty result."""
     hot, n_hot = _hot(a, b, passes, hot_pairs)
     met_anew = (F.col("a_id") < F.col("b_id")) if one_source else ~(F.col("a_done") & F.col("b_done"))
-    names = name_columns()  # once: it takes longer to build than a small pass to run
+    names = _names_of(a.sparkSession.sparkContext.applicationId)
     found: list[DataFrame] = []
     done: dict[str, DataFrame | None] = {"a": None, "b": None}
     for i, (keys, rules) in enumerate(passes):
