@@ -14,6 +14,7 @@ import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ VOCABULARY = "byte_bpe_50k"
 #: Fixed value: the splitting pattern of the byte-level vocabularies.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters the rolling hash sees, share of the places at which it cuts (one in 2 ** CUT_BITS words), longest chunk.
-WINDOW, CUT_BITS, LONGEST = 16, 6, 8192
+WINDOW, CUT_BITS, LONGEST = 8, 6, 8192
 #: Times that a task meets a chunk before its places are spread, over how many groups, and chunks a task keeps in mind.
 HOT_CHUNK, SALTS, TASK_KEYS = 64, 256, 500_000
 PIECES = pa.schema([("tkey", pa.int64()), ("seq", pa.int32()), ("safe", pa.bool_()), ("forced", pa.bool_()), ("key", pa.binary()), ("salt", pa.int32()), ("text", pa.string())])
@@ -193,23 +194,24 @@ def _pieces(batches: Iterator[pa.RecordBatch], bits: int, longest: int) -> Itera
 def _encoded(batches: Iterator[pa.RecordBatch], enc, counts: bool) -> Iterator[pa.RecordBatch]:
     """Ids of every place, from rows sorted by key and salt with a row that has the text first. With counts, ids come
     only for texts that need a repair."""
-    last, last_ids = None, np.zeros(0, np.int32)
+    last: tuple[bytes, int] | None = None
+    last_ids: list[int] = []
     for b in batches:
         made, which = [last_ids], []
         for key, salt, text in zip(b.column("key").to_pylist(), b.column("salt").to_pylist(), b.column("text").to_pylist(), strict=True):
             if (key, salt) != last:
                 last = (key, salt)
-                made.append(np.asarray(enc.encode_to_numpy(text, disallowed_special=()), np.int32) if text else np.zeros(0, np.int32))
+                made.append(enc.encode_ordinary(text) if text else [])
             which.append(len(made) - 1)
         last_ids = made[-1]
-        at = pa.array(which, pa.int64())
         lengths = np.fromiter(map(len, made), np.int32, len(made))
-        ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(np.concatenate(made), pa.int32()))
-        if counts:
-            forced = b.column("forced")
-            ids = pc.if_else(forced, ids.take(at), pa.scalar(None, ids.type))
+        if counts and not pc.any(b.column("forced")).as_py():
+            ids = pa.nulls(len(which), pa.list_(pa.int32()))
         else:
-            ids = ids.take(at)
+            borders = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
+            ids = pa.ListArray.from_arrays(borders, pa.array(np.fromiter(chain.from_iterable(made), np.int32, int(lengths.sum())), pa.int32())).take(pa.array(which, pa.int64()))
+        if counts:
+            ids = pc.if_else(b.column("forced"), ids, pa.scalar(None, ids.type))
         yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("doc", "tkey", "seq", "safe")], pa.array(lengths[which], pa.int32()), ids], names=["doc", "tkey", "seq", "safe", "n", "ids"])
 
 
