@@ -103,10 +103,12 @@ def message_rows(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def message_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The keys of all tables' messages with COPIES, from their stores, which are filled side by side."""
-    with ThreadPoolExecutor(len(MESSAGES)) as pool:
-        stores = list(pool.map(lambda n: message_rows(spark, sf_dir, n), MESSAGES))
-    parts = [rows.select(F.lit(n).alias("table_name"), *MESSAGE_KEYS, COPIES) for n, rows in zip(MESSAGES, stores, strict=True)]
+    """The keys of all tables' messages with COPIES, from their stores. The small one is filled beside the two large
+    ones, which follow each other, so that their shuffles do not fill the disks together."""
+    lanes = (("shopify_customers", "mailchimp_subscribers"), ("incremental_watermarks",))
+    with ThreadPoolExecutor(len(lanes)) as pool:
+        stores = dict(x for lane in pool.map(lambda names: [(n, message_rows(spark, sf_dir, n)) for n in names], lanes) for x in lane)
+    parts = [stores[n].select(F.lit(n).alias("table_name"), *MESSAGE_KEYS, COPIES) for n in MESSAGES]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
