@@ -229,8 +229,8 @@ def consumer_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lag of each group on each topic: many groups' committed offsets against one latest offset a partition."""
     s = table(spark, sf_dir, "shopify_customers_source").select(F.lit("shopify.customers").alias("topic"), F.col("kafka_partition").alias("partition"), F.col("kafka_offset").alias("offset"))
     latest = s.groupBy("topic", "partition").agg(F.max("offset").alias("latest"))
-    committed = s.groupBy("topic", "partition").agg(F.max(F.when(F.col("offset") % 2 == 0, F.col("offset"))).alias("stage"), F.min("offset").alias("archive")).unpivot(["topic", "partition"], ["stage", "archive"], "group", "committed")
-    return committed.join(latest, ["topic", "partition"]).groupBy("group", "topic").agg(F.sum(F.col("latest") - F.coalesce("committed", F.lit(0))).alias("lag"))
+    committed = s.groupBy("topic", "partition").agg(F.max(F.when(F.col("offset") % 2 == 0, F.col("offset"))).alias("stage"), F.min("offset").alias("archive")).unpivot(["topic", "partition"], ["stage", "archive"], "consumer_group", "committed")
+    return committed.join(latest, ["topic", "partition"]).groupBy("consumer_group", "topic").agg(F.sum(F.col("latest") - F.coalesce("committed", F.lit(0))).alias("lag"))
 
 
 def batch_stats(spark: SparkSession, sf_dir: str) -> DataFrame:

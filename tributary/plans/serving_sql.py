@@ -66,6 +66,6 @@ SELECT order_date AS day, orders, revenue, coalesce(charges, 0) AS charges, coal
     "pii_gauges": " UNION ALL ".join(f"SELECT 'column_null_rate' AS name, '{c}' AS label, round(count(*) FILTER (WHERE {c}_token IS NULL) / count(*), 6) AS value FROM core_customers" for c in ("email", "phone", "first_name")) + f" UNION ALL SELECT 'vault_entries', pii_class, entries FROM ({_VAULT})",
     "alerts": f"""WITH k AS ({_KINDS}) SELECT 'too many files' AS alert, label, CAST(view AS DOUBLE) AS value FROM k WHERE view > 100 UNION ALL SELECT 'too many snapshots', label, click FROM k WHERE click > 50 UNION ALL SELECT 'slow job', label, error FROM k WHERE error > 60
 UNION ALL SELECT 'failed since', label, signup - purchase FROM k WHERE signup - purchase > 0 UNION ALL SELECT 'few views a file', label, round(click / view, 6) FROM k WHERE click / view < 0.5""",
-    "consumer_lag": f"""WITH o AS ({_OFFSETS}) SELECT 'stage' AS "group", 'shopify.customers' AS topic, sum(latest - coalesce(stage, 0)) AS lag FROM o UNION ALL SELECT 'archive', 'shopify.customers', sum(latest - archive) FROM o""",
+    "consumer_lag": f"""WITH o AS ({_OFFSETS}) SELECT 'stage' AS consumer_group, 'shopify.customers' AS topic, sum(latest - coalesce(stage, 0)) AS lag FROM o UNION ALL SELECT 'archive', 'shopify.customers', sum(latest - archive) FROM o""",
     "batch_stats": f"SELECT 'exact' AS method, count(*) AS records, count(*) FILTER (WHERE match_type = 'new_entity') AS new_entities, count(*) FILTER (WHERE match_type <> 'new_entity') AS matched, 1.0 AS mean_confidence FROM ({T['entity_exact']})",
 }

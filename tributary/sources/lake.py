@@ -221,7 +221,7 @@ class LakeTable:
         return out
 
     def file_rows(self, version: int | None = None) -> DataFrame:
-        """(path, rows) of the data files of a version, counted from their footers."""
+        """(path, rows) of the data files of a version that hold any rows."""
         return self.read(version).groupBy(F.input_file_name().alias("path")).agg(F.count(F.lit(1)).alias("rows"))
 
     def compact(self, target_bytes: int = 128 << 20, least_files: int = 5, dry_run: bool = False) -> int:
