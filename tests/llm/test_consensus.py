@@ -35,6 +35,22 @@ def test_hot_group(spark):
     assert got["hot"] == "v2997"
 
 
+def test_survivors_do_nothing_that_cannot_change_the_latest(spark):
+    """No older value is ranked, collected or voted on: only the latest of each field goes on, picked without Python."""
+    r = random.Random(4)
+    rows = [(r.choice([None, *"abcdefgh"]), r.choice([None, "x y", "x z", "x  y", ""]), r.choice([None, "p", "q"]), r.choice([None, 1, 2, 3])) for _ in range(120)]
+    df = spark.createDataFrame(rows, "id string, v string, w string, at int")
+    found = c.survivors(df, "id", {"v": F.col("v"), "w": F.col("w")}, "at")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Python", "Window", "Generate", "collect_list")), plan
+    want = {}
+    for k in {x[0] for x in rows} - {None}:
+        group = [x for x in rows if x[0] == k]
+        if len(group) > 1:
+            want[k] = tuple(min(((-(x[3] or 0), x[i]) for x in group if x[i] is not None), default=(0, None))[1] for i in (1, 2))
+    assert {x.id: (x.v, x.w) for x in found.collect()} == want
+
+
 def votes_of(rows):
     """(key, field) -> {value: weight} by plain loops; copies of a row vote once."""
     out = {}

@@ -1,10 +1,10 @@
-"""The best representative of each duplicate group, field by field, by token-level consensus.
+"""The best representative of each duplicate group, field by field.
 
-The usable values of a field in a group are cut into tokens and aligned progressively, the heaviest first; each
-column of the alignment is voted on with the values' weights, and the existing value closest to the voted sequence is
-emitted. consensus_rows() weighs values by what supports them, so that several agreeing rows or tokens outvote a lone
-one; survivors() is for data whose present value is the latest: there weights halve with every rank of recency, so a
-value outweighs all older ones together.
+consensus_rows() is token-level consensus: the usable values of a field in a group are cut into tokens and aligned
+progressively, the heaviest first; each column of the alignment is voted on with the values' weights, and the existing
+value closest to the voted sequence is emitted. Values weigh what supports them, so several agreeing rows or tokens
+outvote a lone one. survivors() is for data whose present value is the latest: nothing older can change it, so there
+is no vote and the latest value is taken as it is.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import math
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,9 +24,6 @@ from tributary.session import saved
 BLOCK_VALUES = 64
 #: Units of a weight, which is a whole number so that sums don't depend on the order of rows.
 UNIT = 1_000_000
-#: Ranks that can sway a vote. The weights 1, 1/2, 1/4 ... of all later ranks together stay below the resolution of a
-#: double, so leaving them out changes no result: this is no cap on the group but the end of its influence.
-RANKS = 53
 GAP = ""
 #: Words that stand for no value; a token of one of them stands for no value either.
 EMPTY_WORDS = ("", " ", "null", "NULL", "None", "none", "nan", "NaN", "n/a", "N/A", "na", "unknown", "undefined", "-")
@@ -108,39 +105,19 @@ def consensus(values: list[str], weights: list[float]) -> str | None:
     return values[best]
 
 
-def ranked_values(df: DataFrame, key: str, fields: dict[str, Column], when: str) -> DataFrame:
-    """(key, field, value, rank) of the distinct usable values of every group, the latest first (rank 1).
-
-    Copies are combined before the shuffle, and the ranking keeps RANKS values a group and field on each task, so a
-    group of any size brings a bounded number of rows. Of values with one latest time the lexically smaller ranks
-    first; a null time is the oldest."""
-    entries = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), c.alias("value")) for f, c in fields.items()]))
-    rows = df.select(F.col(key).alias("_key"), F.col(when).alias("_when"), entries.alias("e")).where("e.value is not null")
-    distinct = rows.groupBy("_key", "e.field", "e.value").agg(F.max("_when").alias("_when"))
-    w = Window.partitionBy("_key", "field").orderBy(F.desc_nulls_last("_when"), "value")
-    return distinct.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= RANKS)
-
-
 def survivors(df: DataFrame, key: str, fields: dict[str, Column], when: str, least: int = 2) -> DataFrame:
-    """One row per key with `least` or more rows: key and the consensus value of each field (null without one).
+    """One row per key with `least` or more rows: key and the latest usable value of each field (null without one).
 
-    fields: output name -> expression giving the usable value or null. Rows with a null key belong to no group.
-    Repeated rows count as rows but weigh once; other columns of df are not read; an empty table gives an empty one.
-    """
+    fields: output name -> expression giving the usable value or null. Of values with one latest time the lexically
+    smaller is taken; a null time is the oldest. Rows with a null key belong to no group. Repeated rows count as rows;
+    other columns of df are not read; an empty table gives an empty one. Rows of a key and time are combined before the
+    first shuffle and those of a key before the second, so a group of any size is spread over the tasks."""
     names = list(fields)
-    sizes = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).count().where(F.col("count") >= least).select("_key")
-    ranked = ranked_values(df, key, fields, when).where("_key is not null")
-    columns = [F.sort_array(F.collect_list(F.when(F.col("field") == n, F.struct("rank", "value")))).alias(n) for n in names]
-    grouped = sizes.join(ranked.groupBy("_key").agg(*columns), "_key", "left")
-    grouped = grouped.select("_key", *[F.transform(n, lambda x: x["value"]).alias(n) for n in names])
-    for n in names:
-        grouped = grouped.withColumn(n, _vote(F.col(n)))
-    return grouped.select(F.col("_key").alias(key), *names)
-
-
-@F.pandas_udf(T.StringType())
-def _vote(lists: pd.Series) -> pd.Series:
-    return lists.map(lambda v: None if v is None or not len(v) else consensus(list(v), [0.5**i for i in range(len(v))]))
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(when).alias("_when"), *[c.alias(n) for n, c in fields.items()])
+    times = rows.groupBy("_key", "_when").agg(F.count(F.lit(1)).alias("_rows"), *[F.min(n).alias(n) for n in names])
+    usable = lambda n: F.when(F.col(n).isNotNull(), F.struct("_when"))
+    latest = times.groupBy("_key").agg(F.sum("_rows").alias("_rows"), *[F.max_by(n, usable(n)).alias(n) for n in names])
+    return latest.where(F.col("_rows") >= least).select(F.col("_key").alias(key), *names)
 
 
 def row_weight(trust: Column, parts: list[Column], when: Column, latest: Column) -> Column:
