@@ -137,3 +137,14 @@ def test_chain_of_ids_carries_over(spark):
     a = [("1", "q11111@x.example", "Eva", "Moor", None), ("2", "q11111@x.example", "Eva", "Moor", "5551112222"), ("3", None, "Eva", "Moor", "5551112222"), ("3", "r22222@x.example", "Eva", "Moor", None), ("4", "r22222@x.example", "Eva", "Moor", None)]
     b = [("m", None, "Eva", "Moor", "5553334444"), ("n", "s33333@x.example", "Eva", "Moor", "5553334444"), ("o", "s33333@x.example", "Eva", "Moor", None), ("o", "q11111@x.example", "Eva", "Moor", None)]
     assert found(spark, a, b) == [(i, j) for i in "1234" for j in "mno"]
+
+
+def test_rules_stay_small_plans(spark):
+    """The planner walks a pass's rules many times, and the driver's memory goes with their size."""
+    from tributary.llm.matching import PASSES, WITHIN, _resolved, _side, name_columns
+
+    p = profiles(spark.createDataFrame([], P)).selectExpr("*", "'' as key", "false as done")
+    pairs = _side(p, "a").join(_side(p, "b"), "key")
+    bare = len(pairs._jdf.queryExecution().analyzed().toString())
+    for _, rules in [*PASSES, *WITHIN]:
+        assert len(_resolved(pairs, rules, name_columns())._jdf.queryExecution().analyzed().toString()) - bare < 15_000

@@ -10,6 +10,8 @@ precision on pairs with labels, smoothed. Pairs of persons are expanded by membe
 
 from __future__ import annotations
 
+import json
+import re
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
@@ -82,8 +84,9 @@ def profiles(rows: DataFrame) -> DataFrame:
     plain = rows.select(F.col("id").cast("string").alias("id"), plain_email(F.col("email")).alias("email"), plain_name(F.col("first")).alias("first"), plain_name(F.col("last")).alias("last"), phone_digits(F.col("phone")).alias("phone"))
     sets = [F.sort_array(F.collect_set(c)).alias(f"{c}s") for c in ("email", "phone", "first", "last")]
     out = plain.where("id is not null").groupBy("id").agg(*sets)
-    short = F.create_map(*[x for k, v in SHORT_FORMS.items() for x in (F.lit(k), F.array(*map(F.lit, v.split())))])
-    full = F.array_distinct(F.flatten(F.transform("firsts", lambda x: F.concat(F.array(x), F.coalesce(F.try_element_at(short, x), F.array().cast("array<string>"))))))
+    # One literal: a map of literals is a thousand expressions that every rule of the planner walks.
+    short = F.from_json(F.lit(json.dumps(SHORT_FORMS)), "map<string,string>")
+    full = F.array_distinct(F.flatten(F.transform("firsts", lambda x: F.concat(F.array(x), F.coalesce(F.split(F.try_element_at(short, x), " "), F.array().cast("array<string>"))))))
     words = F.flatten(F.transform("emails", lambda e: F.filter(F.split(F.regexp_extract(e, "^([^@]*)@", 1), "[^a-z]+"), lambda t: F.length(t) > 1)))
     lasts = F.array_distinct(F.flatten(F.transform("lasts", lambda x: F.concat(F.array(x), F.filter(F.split(x, "[ -]"), lambda t: F.length(t) > 2)))))
     return out.select("id", "emails", "phones", "firsts", lasts.alias("lasts"), full.alias("full"), F.array_distinct(words).alias("local"))
@@ -91,7 +94,7 @@ def profiles(rows: DataFrame) -> DataFrame:
 
 def near(x: Column, y: Column) -> Column:
     """Equal, or one slip apart: a letter missing, added, changed, or two neighbours swapped."""
-    swapped = (F.levenshtein(x, y) == 2) & (F.length(x) == F.length(y)) & (F.array_sort(F.split(x, "")) == F.array_sort(F.split(y, "")))
+    swapped = (F.levenshtein(x, y) == 2) & (F.length(x) == F.length(y)) & (F.sort_array(F.split(x, "")) == F.sort_array(F.split(y, "")))
     return (x == y) | ((F.least(F.length(x), F.length(y)) >= 3) & ((F.levenshtein(x, y) <= 1) | swapped))
 
 
@@ -103,8 +106,9 @@ def _initial(x: Column, y: Column) -> Column:
     return ((F.length(x) == 1) | (F.length(y) == 1)) & (F.substring(x, 1, 1) == F.substring(y, 1, 1))
 
 
-def name_columns() -> dict[str, Column]:
-    """What the names of two profiles (prefixes a_ and b_) say."""
+def name_columns() -> list[dict[str, Column]]:
+    """What the names of two profiles (prefixes a_ and b_) say, in steps of which each reads the columns of those before:
+    an expression that several columns need is in the plan once, for the planner goes over all of it again and again."""
     c = lambda s, n: F.col(f"{s}_{n}")
     exact = _some(c("a", "full"), c("b", "full"), near)
     lasts = _some(c("a", "lasts"), c("b", "lasts"), near)
@@ -118,7 +122,7 @@ def name_columns() -> dict[str, Column]:
         told = lambda t: F.exists(c(s, "firsts"), lambda f: (F.length(f) == 1) & F.startswith(t, f)) & ~F.exists(F.concat(c("a", "lasts"), c("b", "lasts")), lambda n: F.endswith(t, n))
         return F.exists(c(s, "local"), lambda t: (F.length(t) > 2) & told(t) & ~F.exists(c(o, "full"), lambda y: near(t, y)))
 
-    firsts = exact | (_some(c("a", "full"), c("b", "full"), _initial) & ~denied("a", "b") & ~denied("b", "a"))
+    firsts = F.col("first_exact") | (_some(c("a", "full"), c("b", "full"), _initial) & ~denied("a", "b") & ~denied("b", "a"))
 
     def by_mail(s: str, o: str) -> Column:
         """No first name on side s: its e-mail has the other's first name, or the other's initial and last name."""
@@ -137,19 +141,20 @@ def name_columns() -> dict[str, Column]:
     half = (empty("a", "lasts") & _some(c("a", "full"), c("b", "lasts"), near)) | (empty("b", "lasts") & _some(c("b", "full"), c("a", "lasts"), near))
     unknown = empty("a", "firsts") | empty("b", "firsts")
     mail = F.when(empty("a", "firsts"), by_mail("a", "b")).when(empty("b", "firsts"), by_mail("b", "a"))
-    return {
-        "first_agrees": firsts | swapped,
-        "first_exact": exact,
+    whole = {
+        "first_agrees": F.col("firsts_agree") | F.col("names_swapped"),
         "first_unknown": unknown | half,
         "mail_names": F.coalesce(mail, F.lit(False)),
         "mail_denies": (empty("a", "firsts") & ~empty("b", "firsts") & other_in_mail("a", "b")) | (empty("b", "firsts") & ~empty("a", "firsts") & other_in_mail("b", "a")),
-        "last_agrees": lasts | swapped,
+        "last_agrees": F.col("lasts_agree") | F.col("names_swapped"),
         "last_unknown": empty("a", "lasts") | empty("b", "lasts"),
     }
+    in_place = F.col("firsts_agree") & F.col("lasts_agree")
+    return [{"first_exact": exact, "lasts_agree": lasts}, {"firsts_agree": firsts}, {"names_swapped": ~in_place & swapped}, whole]
 
 
 @lru_cache(maxsize=1)
-def _names_of(application: str) -> dict[str, Column]:
+def _names_of(application: str) -> list[dict[str, Column]]:
     """name_columns(), built once an application: that takes longer than a small pass runs."""
     return name_columns()
 
@@ -199,7 +204,7 @@ def _near(tag: str, names: Column) -> Column:
     but a swap of letters apart), and its letters in order (any swap)."""
     long = F.filter(names, lambda x: F.length(x) >= 3)
     less = F.flatten(F.transform(long, lambda x: F.transform(F.array_distinct(_without(x)), lambda y: _form(tag, y, x))))
-    mixed = F.transform(long, lambda x: _form(tag, F.concat(F.lit("~"), F.array_join(F.array_sort(F.split(x, "")), "")), x))
+    mixed = F.transform(long, lambda x: _form(tag, F.concat(F.lit("~"), F.array_join(F.sort_array(F.split(x, "")), "")), x))
     # Forms of one spelling don't meet: equal names have met by the name itself.
     return F.concat(_plain(tag, names), less, mixed)
 
@@ -297,10 +302,14 @@ def _split(p: DataFrame, forms: Forms, side: str) -> DataFrame:
     return rows.select("key", "x.form", F.col("id").alias(f"{side}_id"), F.col("done").alias(f"{side}_done"), F.col("x.spelt").alias(f"{side}_spelt"))
 
 
-def _resolved(pairs: DataFrame, rules: list[tuple[str, str]], names: dict[str, Column]) -> DataFrame:
+def _resolved(pairs: DataFrame, rules: list[tuple[str, str]], names: list[dict[str, Column]]) -> DataFrame:
     """(a_id, b_id, rule) of pairs with both sides' PARTS for which a rule holds. names: name_columns()."""
     rule = F.coalesce(*[F.when(F.expr(condition), F.lit(name)) for name, condition in rules])
-    said = pairs.select("a_id", "b_id", "a_emails", "b_emails", *[e.alias(n) for n, e in names.items()])
+    asked = set(re.findall(r"\w+", " ".join(condition for _, condition in rules)))
+    said = pairs
+    for step in names[:-1]:
+        said = said.withColumns(step)
+    said = said.withColumns({n: e for n, e in names[-1].items() if n in asked})
     return said.select("a_id", "b_id", F.explode(F.filter(F.array(rule), lambda r: r.isNotNull())).alias("rule"))
 
 
